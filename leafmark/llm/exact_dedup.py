@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, table
+from .common import ascii_lower, small_batches, stored, table
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -167,6 +167,7 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, bucket_keys:
     and where a group has no id at all keep_id is null and all stay.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark, 10_000)
     if in_snapshot is None:
         in_snapshot = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(4)) != 0
     rows, _ = stored(spark, digests(docs, in_snapshot), "digests")

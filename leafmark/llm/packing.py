@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship_package, table
 
 #: Permitted sequence lengths in tokens, and the fixed cost of a sequence besides its length.
 SIZES = (512, 1024, 2048, 4096, 8192)
@@ -82,6 +82,7 @@ def pack(items: DataFrame, key: str, length: str, sizes=SIZES, overhead: float =
     where a piece begins in its item. Items of null or less than one token count as one token.
     Repeated keys are separate items. An empty table gives no rows.
     """
+    ship_package(items.sparkSession)
     cost, largest = costs(sizes, overhead), max(sizes)
     rows = items.select(F.col(key).cast("long").alias("key"), F.greatest(F.coalesce(F.col(length), F.lit(1)), F.lit(1)).cast("long").alias("len"))
     n = rows.count()
