@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, lm, packing, secrets
+from . import bpe, exact_dedup, licenses, lm, minhash, packing, secrets
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_license_scan": licenses.op3_license_scan,
+        "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
         "op6_lm_score": lm.op6_lm_score,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_byte_bpe": bpe.op8_byte_bpe,
