@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, lm, minhash, packing, secrets
+from . import bpe, exact_dedup, itq, licenses, lm, minhash, packing, secrets
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_lm_score": lm.op6_lm_score,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op10_itq_near_dedup": itq.op10_itq_near_dedup,
     }
 
 
