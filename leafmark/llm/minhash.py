@@ -289,5 +289,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """One document of each group of near duplicates, with its own columns."""
+    ids = verdict.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))

@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table
@@ -143,31 +144,33 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     Spans that touch or overlap are replaced together. n_chars, where there, follows the new text.
     """
     small_batches(docs.sparkSession)
-    names = docs.columns
+
+    def clean(text):
+        if text is None:
+            return None
+        out, at, merged = [], 0, []
+        for a, b, _ in scan_text(text):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        for a, b in merged:
+            out += [text[at:a], mark]
+            at = b
+        return "".join([*out, text[at:]])
 
     def run(batches):
-        for pdf in batches:
-            new = []
-            for text in pdf["text"]:
-                if text is None:
-                    new.append(None)
-                    continue
-                out, at, merged = [], 0, []
-                for a, b, _ in scan_text(text):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                for a, b in merged:
-                    out += [text[at:a], mark]
-                    at = b
-                new.append("".join([*out, text[at:]]))
-            pdf["text"] = pd.Series(new, dtype=object)
-            if "n_chars" in names:
-                pdf["n_chars"] = [n if t is None else len(t) for n, t in zip(pdf["n_chars"], new, strict=True)]
-            yield pdf
-
-    return docs.mapInPandas(run, docs.schema)
+        for batch in batches:
+            names = batch.schema.names
+            new = [clean(t) for t in batch.column(names.index("text")).to_pylist()]
+            cols = dict(zip(names, batch.columns, strict=True))
+            cols["text"] = pa.array(new, batch.schema.field("text").type)
+            if "n_chars" in cols:
+                old = cols["n_chars"].to_pylist()
+                cols["n_chars"] = pa.array([n if t is None else len(t) for n, t in zip(old, new, strict=True)], batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
