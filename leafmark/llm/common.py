@@ -98,10 +98,10 @@ def components(spark: SparkSession, edges: DataFrame, name: str = "cc", max_roun
     """Connected components of undirected edges (u long, v long): one row (id, component_id) per
     vertex that has an edge; component_id is the component's smallest id.
 
-    Every round hooks each vertex to its smallest neighbour, jumps pointers once, relabels the
-    edges and drops loops and repeats, so the graph shrinks. All state is in written tables;
-    nothing is collected. Hubs are safe: the hook is a partial aggregate, and relabelling joins
-    a written edge table with a written label table, which adaptive execution can split.
+    Every round hooks each vertex to its smallest neighbour, relabels the edges and drops loops and
+    repeats, so the graph shrinks. All state is in written tables; nothing is collected. Hubs are
+    safe: the hook is a partial aggregate, and relabelling joins a written edge table with a written
+    label table, which adaptive execution can split.
     """
     edges = edges.where("u is not null and v is not null and u <> v").select(
         F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -112,11 +112,7 @@ def components(spark: SparkSession, edges: DataFrame, name: str = "cc", max_roun
             break
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hook = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("n")).select("id", F.least("id", "n").alias("to"))
-        hook, hook_at = stored(spark, hook, f"{name}-h{k}")
-        jump = hook.alias("a").join(hook.alias("b"), F.col("a.to") == F.col("b.id"), "left").select(
-            F.col("a.id").alias("id"), F.coalesce(F.col("b.to"), F.col("a.to")).alias("to"))
-        label, label_at = stored(spark, jump, f"{name}-l{k}")
-        drop_stored(spark, hook_at)
+        label, label_at = stored(spark, hook, f"{name}-h{k}")
         lu, lv = label.select(F.col("id").alias("u"), F.col("to").alias("nu")), label.select(F.col("id").alias("v"), F.col("to").alias("nv"))
         fresh = edges.join(lu, "u").join(lv, "v").where("nu <> nv").select(
             F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct()

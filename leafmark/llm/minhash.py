@@ -7,7 +7,8 @@ small nodes are compared exhaustively (on signatures), and larger ones recurse:
 pick the member nearest to the block's majority signature as a centre, points that surely belong
 to a centre leave the node (as points of high average similarity do in the method), and the rest
 branch again on the positions that their node selects. Candidate links are confirmed on full
-sets, and confirmed links are joined into components.
+sets, first those of a spanning forest of each node, then those between groups that are still
+apart; confirmed links are joined into components.
 
 Nothing is capped: nodes that are still large after the last level are compared block by block.
 """
@@ -22,16 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop_stored, small_batches, stored, table
+from .common import components, small_batches, stored, table
 
 SHINGLE, THRESHOLD = 5, 0.75
 SIG = 128  # minwise tokens of a signature
-TREES = 12
-SMALL = 256  # members of a node that is compared exhaustively
-BLOCK = 192  # members of a block of a larger node
-LEVELS = 6
-#: Signature agreement: below MAYBE a pair is not checked (over three and a half standard errors under
-#: the threshold); from SURE on a pair is trusted to be confirmed, and spares its other pairs.
+TREES = 8
+SMALL = 1000  # members of a node that is compared exhaustively
+BLOCK = 500  # members of a block of a larger node
+LEVELS = 5
+#: Signature agreement: below MAYBE a pair is not checked (over three standard errors under the
+#: threshold); members of a large node that agree with a centre from SURE on leave the node.
 MAYBE, SURE = 0.62, 0.87
 _MULT = np.random.default_rng(20250101).integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEEDS = np.random.default_rng(20250102).integers(1, 2**63, SIG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,54 +112,90 @@ def _matrix(sigs) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, SIG)
 
 
-def links_of(ids: np.ndarray, sigs: np.ndarray) -> list[tuple[int, int]]:
-    """Candidate links in one node: a spanning forest of the sure pairs, and every other pair that
-    may reach the threshold and does not lie inside one tree of that forest."""
-    n = len(ids)
+def agreement(sigs: np.ndarray) -> np.ndarray:
+    """Share of equal minwise tokens of every two members; the diagonal and below are zero."""
+    n = len(sigs)
     est = np.zeros((n, n), np.float32)
     for i in range(n - 1):
         est[i, i + 1:] = (sigs[i + 1:] == sigs[i]).mean(1)
-    label = np.arange(n)
-    out = []
-    for i, j in zip(*np.nonzero(est >= SURE), strict=True):
-        if label[i] != label[j]:
-            label[label == label[j]] = label[i]
-            out.append((i, j))
-    out += [(i, j) for i, j in zip(*np.nonzero(est >= MAYBE), strict=True) if label[i] != label[j]]
-    return [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in out if ids[i] != ids[j]]
-
-
-def _small_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (node, id, sig) sorted by node, each node whole in one task and small: candidate links."""
-    rest = None
-    for pdf in batches:
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        last = pdf["node"].iloc[-1] if len(pdf) else None
-        held = pdf["node"] == last
-        rest, ready = pdf[held], pdf[~held]
-        if len(ready):
-            yield _links(ready)
-    if rest is not None and len(rest):
-        yield _links(rest)
-
-
-def _links(pdf: pd.DataFrame) -> pd.DataFrame:
+    return est
+
+
+def forest(est: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """A maximum spanning forest of the pairs that may link, between the groups that label gives."""
+    sym = est + est.T
+    label, out = label.copy(), []
+    while True:
+        open_ = np.where(label[:, None] != label[None, :], sym, 0)
+        to = open_.argmax(1)
+        best = open_[np.arange(len(label)), to]
+        found = False
+        for i in np.argsort(-best, kind="stable").tolist():
+            if best[i] < MAYBE:
+                break
+            if label[i] != label[to[i]]:
+                label[label == label[to[i]]] = label[i]
+                out.append((i, int(to[i])))
+                found = True
+        if not found:
+            return out
+
+
+def _runs(node: np.ndarray) -> Iterator[tuple[int, int]]:
+    cut = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
+    yield from zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
+
+
+def _whole_nodes(f):
+    """For mapInPandas over rows sorted by node, each node whole in one task: f over many whole nodes at once."""
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            held = (pdf["node"] == pdf["node"].iloc[-1]).to_numpy()
+            rest, ready = pdf[held], pdf[~held]
+            if len(ready):
+                yield f(ready)
+        if rest is not None and len(rest):
+            yield f(rest)
+    return run
+
+
+def _first_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links (u, v, node 0) of a spanning forest in each node; a row (-1, -1, node) for a node with more pairs that may link."""
     node, ids, sigs = pdf["node"].to_numpy(), pdf["id"].to_numpy(), _matrix(pdf["sig"])
     cut = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
-    out = []
     sizes = np.diff(cut)
     two = cut[:-1][sizes == 2]
-    if len(two):
-        ok = (sigs[two] == sigs[two + 1]).mean(1) >= MAYBE
-        a, b = ids[two[ok]], ids[two[ok] + 1]
-        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+    ok = (sigs[two] == sigs[two + 1]).mean(1) >= MAYBE if len(two) else np.empty(0, bool)
+    out = [(int(ids[i]), int(ids[i + 1]), 0) for i in two[ok].tolist()]
     for a, n in zip(cut[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        found = links_of(ids[a:a + n], sigs[a:a + n])
-        if found:
-            out.append(np.array(found, np.int64))
-    got = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-    got = got[got[:, 0] != got[:, 1]]
-    return pd.DataFrame({"u": got[:, 0], "v": got[:, 1]})
+        est = agreement(sigs[a:a + n])
+        tree = forest(est, np.arange(n))
+        out += [(int(ids[a + i]), int(ids[a + j]), 0) for i, j in tree]
+        if int((est >= MAYBE).sum()) > len(tree):
+            out.append((-1, -1, int(node[a])))
+    return _ordered(out)
+
+
+def _other_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Every pair that may link and whose members are in different groups by now (column comp)."""
+    node, ids, comp, sigs = pdf["node"].to_numpy(), pdf["id"].to_numpy(), pdf["comp"].to_numpy(), _matrix(pdf["sig"])
+    out = []
+    for a, b in _runs(node):
+        if (comp[a:b] == comp[a]).all():
+            continue
+        est = agreement(sigs[a:b])
+        i, j = np.nonzero((est >= MAYBE) & (comp[a:b, None] != comp[None, a:b]))
+        out += [(int(ids[a + x]), int(ids[a + y]), 0) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+    return _ordered(out)
+
+
+def _ordered(out) -> pd.DataFrame:
+    got = np.array(out, np.int64).reshape(-1, 3)
+    return pd.DataFrame({"u": got[:, :2].min(1), "v": got[:, :2].max(1), "node": got[:, 2]})
 
 
 def _split_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -188,59 +225,76 @@ def _split_block(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _grid(rows: DataFrame) -> DataFrame:
-    """Large nodes left after the last level, compared block by block: links (u, v)."""
+    """Large nodes left after the last level, as nodes of two blocks each, so that every two members meet."""
     g = F.ceil(F.col("n") / BLOCK).cast("int")
     blocks = rows.withColumn("g", g).withColumn("b", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
-    cells = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
+    return blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
         F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("node"), "id", "sig")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = links_of(pdf["id"].to_numpy(), _matrix(pdf["sig"]))
-        return pd.DataFrame(got, columns=["u", "v"]).astype("int64")
-    return cells.groupBy("node").applyInPandas(run, "u long, v long")
+
+def _compare(rows: DataFrame, f) -> DataFrame:
+    return rows.repartition("node").sortWithinPartitions("node").mapInPandas(_whole_nodes(f), "u long, v long, node long").distinct()
 
 
-def candidates(reps: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """reps (id, sig, nodes): distinct candidate links (u < v)."""
+def tree_nodes(reps: DataFrame, levels: int = LEVELS) -> tuple[list[DataFrame], list[DataFrame]]:
+    """reps (id, sig, nodes) -> (tables (node, id, sig) of nodes to be compared exhaustively, tables of links (u, v) to centres)."""
     spark = reps.sparkSession
     first = reps.select("id", F.explode("nodes").alias("node"))
     sizes = first.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held, _ = stored(spark, first.join(sizes, "node"), "join-level0")
     rows = held.join(reps.select("id", "sig"), "id")
-    links, paths = [], []
+    small, centres = [], []
     for level in range(levels + 1):
-        rows, at = stored(spark, rows.select("node", "n", "id", "sig"), f"join-rows{level}")
-        paths.append(at)
-        small = rows.where(f"n <= {SMALL}").select("node", "id", "sig")
-        out, _ = stored(spark, small.repartition("node").sortWithinPartitions("node").mapInPandas(_small_nodes, "u long, v long").distinct(), f"join-links{level}")
-        links.append(out)
+        rows, _ = stored(spark, rows.select("node", "n", "id", "sig"), f"join-rows{level}")
+        small.append(rows.where(f"n <= {SMALL}").select("node", "id", "sig"))
         large = rows.where(f"n > {SMALL}")
         if large.limit(1).count() == 0:
             break
         if level == levels:
-            out, _ = stored(spark, _grid(large).distinct(), "join-grid")
-            links.append(out)
+            small.append(_grid(large))
             break
         block = F.pmod(F.xxhash64("id", F.lit(level)), F.ceil(F.col("n") / BLOCK)).cast("int")
         split, _ = stored(spark, large.withColumn("block", block).groupBy("node", "block").applyInPandas(
             _split_block, "kind int, node long, id long, to long, sig binary"), f"join-split{level}")
-        links.append(split.where("kind = 0").select(F.least("id", "to").alias("u"), F.greatest("id", "to").alias("v")).distinct())
+        centres.append(split.where("kind = 0").select(F.least("id", "to").alias("u"), F.greatest("id", "to").alias("v")))
         down = split.where("kind > 0").select("node", "id", "sig").dropDuplicates(["node", "id"])
         sizes = down.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         rows = down.join(sizes, "node")
-    whole = links[0]
-    for x in links[1:]:
-        whole = whole.unionByName(x)
-    got, _ = stored(spark, whole.distinct(), "join-candidates")
-    drop_stored(spark, *paths)
-    return got
+    return small, centres
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for t in tables[1:]:
+        whole = whole.unionByName(t)
+    return whole
+
+
+def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Confirmed links (u, v) that join every two representatives which the trees bring together and whose full sets reach the threshold.
+
+    First a spanning forest of each node is confirmed, which joins most groups; then all pairs that may link and still lie in
+    different groups are. A pair inside a group needs no link of its own, so a group of any size costs a few links a member.
+    """
+    spark = docs.sparkSession
+    small, centres = tree_nodes(reps)
+    nodes = _union(small)
+    found, _ = stored(spark, _compare(nodes, _first_links), "join-forest")
+    pairs, _ = stored(spark, _union([found.where("u >= 0").select("u", "v"), *centres]).where("u <> v").distinct(), "join-pairs1")
+    links, _ = stored(spark, confirm(docs, pairs), "join-links1")
+    more = found.where("u < 0").select("node")
+    groups = components(spark, links, "forest")
+    again = nodes.join(more, "node", "left_semi").join(groups, "id", "left").select("node", "id", "sig", F.coalesce("component_id", "id").alias("comp"))
+    others, _ = stored(spark, _compare(again, _other_links).select("u", "v").join(pairs, ["u", "v"], "left_anti"), "join-pairs2")
+    return links.unionByName(confirm(docs, others))
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Of candidate links (u, v), those whose full sets have 100 * |A and B| >= 100 * threshold * |A or B|."""
     spark = docs.sparkSession
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id")
+    # always by merge: what moves then follows the input at every size
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted.hint("merge"), "id")
 
     def sets(batches):
         hashes = _WordHash()
@@ -280,9 +334,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     sketches, _ = stored(spark, sketch(docs), "sketches")
     classes, _ = stored(spark, sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
     reps = sketches.join(classes.select("id", "set_key"), (sketches["doc_id"] == F.col("id")) & (sketches["set_key"] == classes["set_key"])).select("id", "sig", "nodes")
-    pairs = candidates(reps)
-    links = confirm(docs, pairs)
-    groups = components(spark, links, "near")
+    groups = components(spark, link(docs, reps), "near")
     named, _ = stored(spark, classes.join(groups, "id", "left").select("set_key", F.coalesce("component_id", "id").alias("component_id")), "named")
     return sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
