@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import CHUNK_SCHEMA, by_bucket, chunker, dec, dec_bytes, enc, enc_bytes, spread
-from .common import small_batches, stored, table
+from .common import small_batches, stored_by, table
 
 #: A vocabulary file may not be larger than this when it goes to every executor.
 MOST_RANKS = 2_000_000
@@ -58,7 +58,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 8_
     raw = spark.sparkContext.broadcast(read_ranks(ranks_path))
     split = chunker(lambda t: _finder(pattern)(t), _pack_words, chunk_chars)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).alias("mark"), F.lit(0).alias("part"))
-    chunks, _ = stored(spark, rows.mapInPandas(split, CHUNK_SCHEMA), "bpe-chunks", "uncompressed")
+    chunks = stored_by(spark, rows.mapInPandas(split, CHUNK_SCHEMA), "bpe-chunks", "chunk", rows.rdd.getNumPartitions())
     total = chunks.agg(F.sum("n_keys")).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_words))
 

@@ -82,6 +82,17 @@ def stored(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def stored_by(spark: SparkSession, df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """Write df as an uncompressed Parquet table in the shared folder, bucketed by key, so that later stages which
+    group by key read it in place without a shuffle."""
+    unique = f"leafmark_{uuid.uuid4().hex[:12]}_{name.replace('-', '_')}"
+    path = f"{shared_dir(spark)}/{unique}"
+    df.write.bucketBy(max(1, parts), key).option("compression", "uncompressed").option("path", path).saveAsTable(unique)
+    fs, p = _fs_path(spark, path)
+    fs.deleteOnExit(p)
+    return spark.table(unique)
+
+
 def ascii_lower(col):
     """Lower-case A-Z only. Texts of ASCII alone take the fast built-in; others translate()."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import CHUNK_SCHEMA, by_bucket, chunker, dec, enc
-from .common import crc_mod5, small_batches, stored, table
+from .common import crc_mod5, small_batches, stored, stored_by, table
 
 #: A space and a line break cannot be words, so they stand for the end and for the start.
 END, START = b" ", b"\n"
@@ -168,7 +168,7 @@ def score(docs: DataFrame, held_out, chunk_chars: int = 8_000_000, bucket_keys:
     held = F.coalesce(held_out, F.lit(False))
     in_block = ~held & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("deleted block")), F.lit(10)) == 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held).cast("int").alias("mark"), in_block.cast("int").alias("part"))
-    chunks, _ = stored(spark, rows.mapInPandas(chunker(_tokens, _word_keys, chunk_chars), CHUNK_SCHEMA), "lm-chunks", "uncompressed")
+    chunks = stored_by(spark, rows.mapInPandas(chunker(_tokens, _word_keys, chunk_chars), CHUNK_SCHEMA), "lm-chunks", "chunk", rows.rdd.getNumPartitions())
     sums = chunks.agg(F.sum("n_keys"), F.sum("n_tokens")).first()
     n_buckets = (max(1, -(-(sums[0] or 0) // bucket_keys)), max(1, -(-(sums[1] or 0) // bucket_keys)))
     asked = chunks.select("chunk", "part", "lens", "marks", "ids", "vocab").mapInPandas(
