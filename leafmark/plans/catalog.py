@@ -2,10 +2,461 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from leafmark.functions import text as T
+from leafmark.operators import chunking, markdown, merging, practice, reading, retrieval
+from leafmark.sources import fixtures as X
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+    return add
+
+
+# ------------------------------------------------------------------ retrieval
+
+_TOK = r"""
+corpus AS (SELECT doc_id AS pos, text, FALSE AS is_title, NULL::INT AS level FROM documents
+  UNION ALL SELECT 1000000000 + page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1), TRUE, (1 + page_id % 3)::INT FROM pages),
+tok AS (SELECT pos, is_title, level, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS toks FROM corpus),
+dl AS (SELECT pos, len(toks) AS dl FROM tok),
+tf AS (SELECT pos, term, count(*) AS tf FROM (SELECT pos, unnest(toks) AS term FROM tok) GROUP BY 1, 2),
+tot AS (SELECT count(*) AS n, avg(dl)::DOUBLE AS avgdl FROM dl),
+df AS (SELECT term, df, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), tot)
+"""
+_Q = r"""
+q AS (SELECT item_id AS qid, text AS query FROM benchmark UNION ALL SELECT * FROM (VALUES (-1::BIGINT, ''), (-2, 'zzqqzz'), (-3, 'zzqqzz the of'), (-4, '!!! ???'), (-5, 'the of and'))),
+qt AS (SELECT qid, regexp_extract_all(lower(query), '[\p{L}\p{N}]+') AS toks FROM q),
+each_ AS (SELECT e.qid, e.pos_, e.term, df.df, df.idf FROM (SELECT qid, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos_ FROM qt) e LEFT JOIN df USING (term)),
+plan0 AS (SELECT qid, count(*) AS n_tokens, count(DISTINCT CASE WHEN df IS NOT NULL THEN term END) AS n_known, max(df) AS most,
+  coalesce(list(term ORDER BY pos_) FILTER (df IS NOT NULL), []) AS used, coalesce(list(term ORDER BY pos_) FILTER (df IS NULL), []) AS missing FROM each_ GROUP BY qid),
+plan AS (SELECT q.qid, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_known, 0) AS n_known, coalesce(used, []) AS used, coalesce(missing, []) AS missing,
+  CASE WHEN coalesce(n_tokens, 0) = 0 THEN 'empty_query' WHEN n_known = 0 THEN 'not_found' WHEN n_tokens >= 2 AND most <= 2 THEN 'not_found' ELSE '' END AS refused
+  FROM q LEFT JOIN plan0 USING (qid)),
+terms AS (SELECT DISTINCT e.qid, e.term, e.idf FROM each_ e JOIN plan USING (qid) WHERE refused = '' AND e.df IS NOT NULL),
+score AS (SELECT qid, tf.pos, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * greatest(dl, 1) / avgdl))), 9) AS score, count(*) AS matched
+  FROM terms JOIN tf USING (term) JOIN dl USING (pos) CROSS JOIN tot GROUP BY 1, 2),
+tt AS (SELECT pos, coalesce(level, 9) AS level, len(list_distinct(toks)) AS n_tokens, unnest(list_distinct(toks)) AS term FROM tok WHERE is_title),
+th AS (SELECT qid, pos, level, count(*) AS hits, round(sum(idf) * count(*) / n_tokens, 9) AS score FROM tt JOIN terms USING (term) GROUP BY qid, pos, level, n_tokens),
+sections AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, level, score DESC, pos) AS rank FROM th) WHERE rank <= 5),
+pscore AS (SELECT s.*, n_known FROM score s JOIN plan USING (qid) JOIN corpus USING (pos) WHERE NOT is_title AND s.score > 1e-9),
+mode AS (SELECT plan.*, coalesce(n_sections, 0) AS n_sections, (coalesce(n_sections, 0) > 0 OR coalesce(has_all, FALSE)) AS use_all FROM plan
+  LEFT JOIN (SELECT qid, count(*) AS n_sections FROM sections GROUP BY 1) USING (qid) LEFT JOIN (SELECT qid, bool_or(matched = n_known) AS has_all FROM pscore GROUP BY 1) USING (qid)),
+passages AS (SELECT * FROM (SELECT p.qid, p.pos, p.score, row_number() OVER (PARTITION BY p.qid ORDER BY p.score DESC, p.pos) AS rank
+  FROM pscore p JOIN mode USING (qid) WHERE NOT use_all OR p.matched = p.n_known) WHERE rank <= 5)
+"""
+
+
+def _index(spark, sf_dir):
+    return retrieval.build_index(X.corpus(spark, sf_dir)).persist()
+
+
+@query(f"""WITH {_TOK}, {_Q}
+SELECT m.qid, CASE WHEN refused <> '' THEN refused WHEN m.n_sections > 0 OR coalesce(n_passages, 0) > 0 THEN 'ok' ELSE 'not_found' END AS status,
+  m.n_tokens, m.n_known, array_to_string(used, ' ') AS used_tokens, array_to_string(missing, ' ') AS missing_tokens,
+  CASE WHEN refused <> '' OR use_all THEN 0 WHEN m.n_sections > 0 OR coalesce(n_passages, 0) > 0 THEN 1 ELSE 2 END AS relax_rounds,
+  m.n_sections, coalesce(n_passages, 0) AS n_passages, CASE WHEN len(missing) > 0 THEN array_to_string(missing, '、') ELSE '' END AS message
+FROM mode m LEFT JOIN (SELECT qid, count(*) AS n_passages FROM passages GROUP BY 1) USING (qid)""")
+def search_batch(spark, sf_dir):
+    """Batch search with refusal: one row per query."""
+    r = retrieval.search(_index(spark, sf_dir), X.queries(spark, sf_dir))
+    return r.withColumn("used_tokens", F.array_join("used_tokens", " ")).withColumn("missing_tokens", F.array_join("missing_tokens", " "))
+
+
+@query(f"""WITH {_TOK}, {_Q}
+SELECT qid, 'section' AS kind, rank, pos, round(score, 4) AS score FROM sections UNION ALL SELECT qid, 'passage', rank, pos, round(score, 4) FROM passages""")
+def search_hits(spark, sf_dir):
+    """Sections and passages that the batch search answers with."""
+    return retrieval.search_hits(_index(spark, sf_dir), X.queries(spark, sf_dir))
+
+
+@query(f"""WITH {_TOK}, {_Q} SELECT qid, rank, pos, hits, round(score, 4) AS score FROM sections""")
+def title_hits(spark, sf_dir):
+    i, q = _index(spark, sf_dir), X.queries(spark, sf_dir)
+    plan = retrieval.plan_queries(i, q)
+    terms = retrieval.query_terms(q).join(plan.where("refused = ''").select("qid"), "qid")
+    return retrieval.title_hits(i, terms).withColumn("score", F.round("score", 4))
+
+
+@query(f"""WITH {_TOK}, {_Q} SELECT qid, array_to_string(missing, ' ') AS missing, len(missing) AS n_missing FROM plan WHERE len(missing) > 0""")
+def missing_terms(spark, sf_dir):
+    p = retrieval.plan_queries(_index(spark, sf_dir), X.queries(spark, sf_dir))
+    return p.where(F.size("missing") > 0).select("qid", F.array_join("missing", " ").alias("missing"), F.size("missing").alias("n_missing"))
+
+
+@query(f"""WITH {_TOK}, qq AS (SELECT term, idf FROM df WHERE term IN ('the', 'that', 'nation'))
+SELECT pos, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * greatest(dl, 1) / avgdl))), 4) AS score, count(*) AS matched
+FROM qq JOIN tf USING (term) JOIN dl USING (pos) CROSS JOIN tot GROUP BY 1 ORDER BY round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * greatest(dl, 1) / avgdl))), 9) DESC, pos LIMIT 10""")
+def bm25_topk(spark, sf_dir):
+    """Top ten of one query by BM25."""
+    q = spark.createDataFrame([(0, "the that nation")], "qid long, query string")
+    return retrieval.bm25(_index(spark, sf_dir), retrieval.query_terms(q)).orderBy(F.desc("score"), "pos").limit(10).select("pos", F.round("score", 4).alias("score"), "matched")
+
+
+@query(f"WITH {_TOK} SELECT df, count(*) AS n_terms FROM df GROUP BY 1")
+def df_histogram(spark, sf_dir):
+    return _index(spark, sf_dir).df.groupBy("df").agg(F.count(F.lit(1)).alias("n_terms"))
+
+
+@query(f"WITH {_TOK} SELECT term, df, round(idf, 6) AS idf FROM df")
+def idf_table(spark, sf_dir):
+    return _index(spark, sf_dir).df.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_TOK} SELECT pos, dl, len(list_distinct(toks)) AS n_terms FROM dl JOIN tok USING (pos)")
+def document_lengths(spark, sf_dir):
+    t = X.corpus(spark, sf_dir).select("pos", T.tokens(F.col("text")).alias("t"))
+    return t.select("pos", F.size("t").alias("dl"), F.size(F.array_distinct("t")).alias("n_terms"))
+
+
+@query(f"""WITH {_TOK} SELECT count(*) AS chunks, count(*) FILTER (is_title) AS titles, count(*) FILTER (NOT is_title) AS passages, NULL::INT AS page_min, NULL::INT AS page_max,
+  round(avg(length(text)))::BIGINT AS avg_len, (SELECT count(*) FROM df) AS vocab FROM corpus""")
+def corpus_stats(spark, sf_dir):
+    return retrieval.corpus_stats(_index(spark, sf_dir))
+
+
+@query(r"""WITH t AS (SELECT doc_id AS pos, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS toks FROM documents),
+f AS (SELECT term, min((pos, pos_)) AS seen FROM (SELECT pos, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos_ FROM t) GROUP BY 1)
+SELECT term, row_number() OVER (ORDER BY seen) - 1 AS term_id FROM f""")
+def vocabulary(spark, sf_dir):
+    """Term numbers in order of first sight."""
+    return retrieval.term_ids(X.corpus(spark, sf_dir).where("not is_title"))
+
+
+@query(r"""WITH t AS (SELECT page_id, list_sort(list_distinct(regexp_extract_all(lower(regexp_extract(html, '<h1>(.*?)</h1>', 1)), '[\p{L}\p{N}]+'))) AS toks FROM pages)
+SELECT page_id, array_to_string(toks, ' ') AS title_tokens, len(toks) AS n FROM t""")
+def title_tokens(spark, sf_dir):
+    t = F.array_sort(F.array_distinct(T.tokens(F.regexp_extract("html", "<h1>(.*?)</h1>", 1))))
+    return X.read(spark, sf_dir, "pages").select("page_id", F.array_join(t, " ").alias("title_tokens"), F.size(t).alias("n"))
+
+
+# ------------------------------------------------------------------ chunking
+
+_SENT = r"""
+ln AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS p FROM (SELECT doc_id, string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents)),
+sx AS (SELECT doc_id, p, unnest(r) AS s0, generate_subscripts(r, 1) AS k FROM (SELECT doc_id, p, regexp_extract_all(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '[^.!?;]*[.!?;]|[^.!?;]+') AS r FROM ln)),
+sents AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) - 1 AS i, k2 = 1 AS first_ FROM (
+  SELECT doc_id, p, k, s, row_number() OVER (PARTITION BY doc_id, p ORDER BY k) AS k2 FROM (SELECT doc_id, p, k, regexp_replace(s0, '^\s+|\s+$', '', 'g') AS s FROM sx) WHERE s <> ''))
+"""
+
+
+@query(f"WITH {_SENT} SELECT doc_id, count(*) AS n_sentences, max(length(s)) AS longest, count(*) FILTER (first_) AS n_lines FROM sents GROUP BY 1")
+def sentences(spark, sf_dir):
+    s = X.read(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences(F.col("text"), T.LATIN)).alias("x"))
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.max(F.length("x.s")).alias("longest"), F.count_if("x.first").alias("n_lines"))
+
+
+_CHUNKS = _SENT + r""",
+cum AS (SELECT *, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS c, count(*) OVER (PARTITION BY doc_id) AS n FROM sents),
+nx AS (SELECT a.doc_id, a.i, a.n, coalesce((SELECT min(b.i) + 1 FROM cum b WHERE b.doc_id = a.doc_id AND b.i >= a.i AND b.c - (a.c - length(a.s)) >= 400), a.n) AS j FROM cum a),
+walk AS (SELECT doc_id, i, j, n FROM nx WHERE i = 0 UNION ALL SELECT w.doc_id, x.i, x.j, x.n FROM walk w JOIN nx x ON x.doc_id = w.doc_id AND x.i = greatest(w.i + 1, w.j - 1) WHERE w.j < w.n)
+"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) AS piece, i, j FROM walk")
+def chunk_bounds(spark, sf_dir):
+    """Bounds of overlapping sentence chunks of about 400 characters."""
+    return chunking.chunk(X.read(spark, sf_dir, "documents"), ["doc_id"], "text", 400, T.LATIN).select("doc_id", "piece", "i", "j")
+
+
+@query(f"""WITH RECURSIVE {_CHUNKS} SELECT w.doc_id, w.i, md5(regexp_replace(string_agg(CASE WHEN first_ AND s.i > w.i THEN chr(10) || s ELSE s END, '' ORDER BY s.i), '^\\s+|\\s+$', '', 'g')) AS text_md5
+FROM walk w JOIN sents s ON s.doc_id = w.doc_id AND s.i >= w.i AND s.i < w.j GROUP BY 1, 2""")
+def chunk_texts(spark, sf_dir):
+    c = chunking.chunk(X.read(spark, sf_dir, "documents"), ["doc_id"], "text", 400, T.LATIN)
+    return c.select("doc_id", "i", F.md5(F.encode("piece_text", "UTF-8")).alias("text_md5"))
+
+
+# ------------------------------------------------------------------ Markdown books
+
+_ITEMS = r"""
+raw AS (
+  SELECT r_name AS doc, -1 AS k1, 0 AS k2, 0 AS k3, 'heading' AS kind, 1 AS level, r_name AS text, r_name AS path, NULL::INT AS page FROM region
+  UNION ALL SELECT r_name, n_nationkey, 0, 0, 'heading', 2, n_name, r_name || ' > ' || n_name, n_nationkey + 1 FROM nation JOIN region ON r_regionkey = n_regionkey
+  UNION ALL SELECT r_name, n_nationkey, c_custkey, 1, 'heading', 3, c_name, r_name || ' > ' || n_name || ' > ' || c_name, n_nationkey + 1
+    FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+  UNION ALL SELECT r_name, n_nationkey, c_custkey, 2, 'para', 0, c_name || ' buys in ' || c_mktsegment || '.', r_name || ' > ' || n_name || ' > ' || c_name, n_nationkey + 1
+    FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+items AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY k1, k2, k3) - 1 AS pos, kind, level, text, path, page FROM raw)
+"""
+
+
+def _items(spark, sf_dir):
+    return markdown.parse_items(X.books(spark, sf_dir), "doc")
+
+
+@query(f"WITH {_ITEMS} SELECT * FROM items")
+def markdown_items(spark, sf_dir):
+    """Headings and paragraphs of the books with section paths and pages."""
+    return _items(spark, sf_dir).drop("url")
+
+
+@query(f"""WITH {_ITEMS}, e AS (SELECT *, CASE WHEN kind = 'heading' THEN path ELSE text END AS t FROM items)
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS chunk_no, kind = 'heading' AS is_title, CASE WHEN kind = 'heading' THEN level END AS level, path AS section_path, page AS page_no, t AS text FROM e""")
+def book_chunks(spark, sf_dir):
+    """Title chunks and passages of the books."""
+    return chunking.build_chunks(_items(spark, sf_dir), "doc", 400, 10, T.LATIN).select("doc", "chunk_no", "is_title", "level", "section_path", "page_no", "text")
+
+
+@query(f"""WITH {_ITEMS} SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS chunk_no, path AS section_path, path AS text FROM items WHERE kind = 'heading'""")
+def short_pieces_dropped(spark, sf_dir):
+    """With paragraphs under 60 characters only titles stay."""
+    return chunking.build_chunks(_items(spark, sf_dir), "doc", 400, 60, T.LATIN).select("doc", "chunk_no", "section_path", "text")
+
+
+@query(f"""WITH {_ITEMS} SELECT i.doc, t.path AS target, count(*) AS blocks, count(*) FILTER (i.kind = 'heading') AS headings, min(i.pos) AS first_pos, max(i.pos) AS last_pos
+FROM items i JOIN (SELECT doc, path FROM items WHERE level = 2) t ON i.doc = t.doc AND (i.path = t.path OR starts_with(i.path, t.path || ' > ')) GROUP BY 1, 2""")
+def section_blocks(spark, sf_dir):
+    """What stands under each chapter."""
+    i = _items(spark, sf_dir)
+    t = i.where("level = 2").select("doc", F.col("path").alias("target"))
+    return reading.section_blocks(i, t).groupBy("doc", "target").agg(
+        F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("kind") == "heading").alias("headings"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+@query(f"""WITH {_ITEMS} SELECT doc, path || ' > x > y' AS path, CASE WHEN level = 3 THEN regexp_replace(path, ' > [^>]*$', '') ELSE path END AS section FROM items WHERE kind = 'heading'""")
+def longest_prefix(spark, sf_dir):
+    """The deepest known section of a path."""
+    i = _items(spark, sf_dir).where("kind = 'heading'")
+    return reading.longest_prefix(i.select("doc", F.concat("path", F.lit(" > x > y")).alias("path")), i.where("level < 3").select("doc", F.col("path").alias("section")))
+
+
+@query(f"""WITH {_ITEMS} SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY pos) AS section_no, path AS section, (level = 3)::INT AS blocks, 0 AS figures, 0 AS tables FROM items WHERE kind = 'heading'""")
+def reader_sections(spark, sf_dir):
+    return reading.reader_sections(_items(spark, sf_dir))
+
+
+@query(f"""WITH {_ITEMS} SELECT doc, pos, level, text AS title, path, CASE WHEN level = 1 THEN '' ELSE regexp_replace(path, ' > [^>]*$', '') END AS parent,
+  coalesce(nullif(ltrim(regexp_extract(text, '\\d+'), '0'), ''), CASE WHEN regexp_extract(text, '\\d+') = '' THEN '9999' ELSE '0' END) AS sibling_key FROM items WHERE kind = 'heading'""")
+def tree_paths(spark, sf_dir):
+    """Knowledge tree as rows with parents and sibling sort keys."""
+    t = reading.tree_paths(_items(spark, sf_dir))
+    return t.withColumn("sibling_key", F.array_join(F.transform("sibling_key", lambda x: x.cast("string")), ","))
+
+
+@query(f"WITH {_ITEMS} SELECT doc, count(*) AS n_paths, md5(string_agg(path, chr(10) ORDER BY pos)) AS paths_md5 FROM items WHERE kind = 'heading' GROUP BY 1")
+def review_outline(spark, sf_dir):
+    return reading.outline(_items(spark, sf_dir)).select("doc", "n_paths", F.md5(F.encode(F.array_join("paths", "\n"), "UTF-8")).alias("paths_md5"))
+
+
+_LN = r"""ln AS (SELECT doc_id, regexp_replace(unnest(l), '^\s+|\s+$', '', 'g') AS line, generate_subscripts(l, 1) AS line_no
+  FROM (SELECT doc_id, string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents))"""
+
+
+@query(rf"""WITH {_LN} SELECT doc_id, count(*) FILTER (regexp_matches(line, '^#\s')) AS h1, count(*) FILTER (regexp_matches(line, '^##\s')) AS h2, count(*) FILTER (regexp_matches(line, '^###\s')) AS h3,
+  count(*) FILTER (regexp_matches(line, '^\|.*\|$')) AS table_lines, count(*) FILTER (starts_with(line, '![')) AS figures, count(*) FILTER (regexp_matches(line, '^<!--\s*page\s+(\d+)\s*-->$')) AS page_marks,
+  sum(length(line)) AS chars, count(*) AS lines FROM ln GROUP BY 1""")
+def markdown_profile(spark, sf_dir):
+    return markdown.profile(X.read(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(f"""WITH {_LN} SELECT doc_id, line_no, hit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS hit FROM ln WHERE contains(line, 'nation')) WHERE hit <= 6""")
+def keyword_occurrences(spark, sf_dir):
+    return markdown.occurrences(X.read(spark, sf_dir, "documents"), "doc_id", "nation")
+
+
+@query(rf"""WITH {_LN}, h AS (SELECT doc_id, line_no, CASE WHEN line = '' OR length(line) > 60 OR regexp_matches(line, '[。，；：！？]') THEN NULL
+  WHEN regexp_matches(line, '^第\s*[0-9一二三四五六七八九十百]+\s*[章节篇]') THEN 1
+  WHEN regexp_matches(line, '^\d+\.\d+\.\d+($|[^\d.\s])') THEN 3 WHEN regexp_matches(line, '^\d+\.\d+($|[^\d.\s])') THEN 2 WHEN length(line) <= 30 AND regexp_matches(line, '^\d{{1,2}}\s*[.、]\s*[一-鿿]') THEN 4 END AS level FROM ln)
+SELECT level, count(*) AS n FROM h GROUP BY 1""")
+def heading_levels(spark, sf_dir):
+    """Heading test on all lines of all documents."""
+    ln = markdown.lines_of(X.read(spark, sf_dir, "documents"), "doc_id")
+    return ln.groupBy(T.heading_level(F.col("line")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ study
+
+@query(r"""WITH t AS (SELECT source, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS toks FROM documents),
+w AS (SELECT source, unnest(toks) AS word, doc_id, generate_subscripts(toks, 1) AS pos_ FROM t),
+f AS (SELECT source, word, count(*) AS n, min((doc_id, pos_)) AS seen FROM w WHERE length(word) BETWEEN 2 AND 12 AND regexp_matches(word, '[一-鿿A-Za-z]') GROUP BY 1, 2),
+sub AS (SELECT DISTINCT source, substr(word, a, n) AS word FROM (SELECT f.source, f.word, g.a, h.n FROM f, range(1, 12) g(a), range(2, 12) h(n) WHERE h.n < length(f.word) AND g.a + h.n - 1 <= length(f.word)))
+SELECT source, rank, word, n FROM (SELECT f.source, row_number() OVER (PARTITION BY f.source ORDER BY f.n DESC, f.seen) AS rank, f.word, f.n FROM f ANTI JOIN sub ON f.source = sub.source AND f.word = sub.word) WHERE rank <= 12""")
+def top_concepts(spark, sf_dir):
+    """Twelve key words of each source; words inside longer ones fall."""
+    d = X.read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("pos"), "text")
+    return reading.top_concepts(d, "source")
+
+
+@query("SELECT lang AS course, source AS book, count(*) AS n_chunks FROM documents GROUP BY 1, 2")
+def course_counts(spark, sf_dir):
+    return X.read(spark, sf_dir, "documents").groupBy(F.col("lang").alias("course"), F.col("source").alias("book")).agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN contains(p_name, 'steel') THEN 'steel' WHEN contains(p_name, 'tin') THEN 'tin' WHEN contains(lower(p_name), 'iron') OR contains(lower(p_name), 'rod') THEN 'steel' WHEN contains(lower(p_name), 'copper') THEN 'tin' ELSE '' END AS course FROM part""")
+def course_classifier(spark, sf_dir):
+    c = T.classify_course(F.col("p_name"), {"steel": ["iron", "rod"], "tin": ["copper"]})
+    return X.read(spark, sf_dir, "part").select("p_partkey", c.alias("course"))
+
+
+# ------------------------------------------------------------------ merging
+
+_PG = r"""pg AS (SELECT book, idx, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN idx + 1 + book % 7 + 100 ELSE idx + 1 + book % 7 END AS page_no
+  FROM (SELECT o_custkey AS book, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx FROM orders)),
+d AS (SELECT book, idx, page_no - idx - 1 AS v FROM pg WHERE page_no IS NOT NULL AND page_no <> 0),
+votes AS (SELECT a.book, a.v, a.idx, (SELECT count(*) FROM d b WHERE b.book = a.book AND abs(b.v - a.v) <= 1) AS n FROM d a),
+best AS (SELECT book, v FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC, idx) AS k FROM votes) WHERE k = 1),
+off AS (SELECT DISTINCT pg.book, coalesce(best.v, 0) AS "offset" FROM pg LEFT JOIN best USING (book))"""
+
+
+@query(f"WITH {_PG} SELECT * FROM off")
+def page_offset(spark, sf_dir):
+    """The offset of printed page numbers that most pages of a book agree on."""
+    return merging.page_offset(X.numbered_pages(spark, sf_dir))
+
+
+@query(f"""WITH {_PG} SELECT book, idx, CASE WHEN page_no IS NOT NULL AND abs(page_no - (idx + 1) - "offset") <= 3 THEN page_no WHEN idx + 1 + "offset" >= 1 THEN idx + 1 + "offset" END AS page_no,
+  page_no IS NOT NULL AND abs(page_no - (idx + 1) - "offset") > 3 AS fixed FROM pg JOIN off USING (book)""")
+def page_numbers(spark, sf_dir):
+    return merging.clean_page_numbers(X.numbered_pages(spark, sf_dir)).select("book", "idx", "page_no", "fixed")
+
+
+@query(rf"""WITH {_LN}, s AS (SELECT *, NOT (line = '' OR starts_with(line, '![') OR regexp_matches(line, '^\|[\s:|-]+\|$')) AS ok, regexp_matches(line, '^\|.*\|$') AS rw, regexp_matches(line, '^#{{1,6}}\s+') AS hd FROM ln),
+c AS (SELECT doc_id, count(*) FILTER (ok AND CASE WHEN rw THEN regexp_matches(line, '^\|\s*\d+(?:\.\d+)+\s*\|') ELSE hd END) AS heads, count(*) FILTER (ok AND NOT rw AND NOT hd AND length(line) >= 30) AS body FROM s GROUP BY 1)
+SELECT *, heads >= 8 AND body <= 1 AS is_toc FROM c""")
+def toc_pages(spark, sf_dir):
+    return merging.toc_pages(X.read(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def _doc_pages(spark, sf_dir):
+    d = X.read(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("book"), F.col("doc_id").alias("idx"), "text", F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") + 5).alias("page_no"))
+
+
+@query(r"""WITH t AS (SELECT source AS book, doc_id AS idx, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents)
+SELECT book, count(*) AS pages, count(*) FILTER (text = '') AS empty, 0 AS toc_dropped, 0 AS pageno_fixed, min(p) AS page_min, max(p) AS page_max,
+  sum(CASE WHEN text <> '' THEN length('<!-- page ' || p || ' -->') + 2 + length(text) END) AS chars
+FROM (SELECT *, idx + CASE WHEN has THEN 5 ELSE 1 END AS p FROM (SELECT *, bool_or(idx % 4 <> 0) OVER (PARTITION BY book) AS has FROM t)) GROUP BY 1""")
+def merge_stats(spark, sf_dir):
+    """Statistics of merging documents as pages of one book for each source."""
+    return merging.merge_pages(_doc_pages(spark, sf_dir))[1]
+
+
+@query()
+def merged_books(spark, sf_dir):
+    """The merged books (no SQL: checked on fixtures against a plain fold)."""
+    return merging.merge_pages(_doc_pages(spark, sf_dir))[0].select("book", F.length("text").alias("chars"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"), "appendix_subs")
+
+
+@query()
+def slide_cleaning(spark, sf_dir):
+    """Label runs of slides merged (no SQL: checked against a plain fold)."""
+    return merging.clean_slides(X.read(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.length("text").alias("chars"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+# ------------------------------------------------------------------ practice
+
+_AT = "at_ AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN TRUE WHEN 'error' THEN FALSE END AS correct FROM events)"
+
+
+@query(f"""WITH {_AT}, l AS (SELECT user_id, arg_max(correct, (ts, event_id)) AS ok FROM at_ WHERE correct IS NOT NULL GROUP BY 1) SELECT user_id, 1 AS wrong_count, FALSE AS mastered FROM l WHERE NOT ok""")
+def wrong_book(spark, sf_dir):
+    """Users whose last graded attempt was wrong."""
+    return practice.wrong_book(X.attempts(spark, sf_dir).where("correct is not null"), ["user_id"], ["ts", "event_id"])
+
+
+@query(f"""WITH {_AT}, l AS (SELECT user_id, arg_max(correct, (ts, event_id)) AS ok, max((ts, event_id)) FILTER (correct) AS r FROM at_ WHERE correct IS NOT NULL GROUP BY 1)
+SELECT user_id, count(*) AS wrong_count, FALSE AS mastered FROM at_ JOIN l USING (user_id) WHERE NOT ok AND NOT correct AND (r IS NULL OR (ts, event_id) > r) GROUP BY 1""")
+def wrong_book_counting(spark, sf_dir):
+    """The same, counting wrong answers since the last right one."""
+    return practice.wrong_book(X.attempts(spark, sf_dir).where("correct is not null"), ["user_id"], ["ts", "event_id"], counting=True)
+
+
+@query(f"""WITH {_AT} SELECT user_id, count(*) AS total, count(correct) AS answered, count(*) FILTER (correct) AS correct, count(*) FILTER (NOT correct) AS wrong,
+  CASE WHEN count(correct) > 0 THEN round(count(*) FILTER (correct) / count(correct), 3) ELSE 0 END AS accuracy FROM at_ GROUP BY 1""")
+def session_stats(spark, sf_dir):
+    return practice.session_stats(X.attempts(spark, sf_dir), "user_id")
+
+
+@query("""SELECT lang, doc_id, pick FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('7|' || doc_id), doc_id) AS pick FROM documents) WHERE pick <= CASE lang WHEN 'en' THEN 10 WHEN 'fr' THEN 10 WHEN 'de' THEN 2 ELSE 0 END""")
+def stratified_sample(spark, sf_dir):
+    """Questions drawn by type, the same for the same seed."""
+    return practice.sample_questions(X.read(spark, sf_dir, "documents"), ["lang"], F.col("doc_id"), {"en": 10, "fr": 10, "de": 2}, "7", "lang").select("lang", "doc_id", "pick")
+
+
+@query("""SELECT event_id, event_type = 'click' AS auto, CASE WHEN event_type = 'click' THEN value > 50 ELSE FALSE END AS correct FROM events""")
+def graded_answers(spark, sf_dir):
+    e = X.read(spark, sf_dir, "events")
+    a = e.select("event_id", F.when(F.col("event_type") == "click", "选择题").otherwise("填空题").alias("type"), F.array(F.lit("A. x")).alias("options"), F.lit(" b ").alias("answer"), F.when(F.col("value") > 50, "B").otherwise("c").alias("user_answer"))
+    return practice.grade(a).select("event_id", "auto", "correct")
+
+
+@query("""SELECT doc_id FROM documents WHERE contains(text, 'nation') UNION ALL SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(text, 'nation'))""")
+def chapter_questions(spark, sf_dir):
+    return practice.chapter_questions(X.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("stem")), "nation").select("doc_id")
+
+
+@query("""WITH q AS (SELECT lang AS course, source AS type, doc_id % 5 AS no, doc_id AS pos FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY course, type, no ORDER BY pos) AS k FROM q)
+SELECT f.course, f.type, f.no, f.pos, 1 AS wrong_count, f.course || ':' || f.type || ':' || f.no AS key FROM f WHERE k = 1 AND no IN (1, 3)""")
+def wrong_review(spark, sf_dir):
+    """Wrong-book keys met with the first question of each key."""
+    q = X.read(spark, sf_dir, "documents").select(F.col("lang").alias("course"), F.col("source").alias("type"), (F.col("doc_id") % 5).alias("no"), F.col("doc_id").alias("pos"))
+    wrong = q.where("no in (1, 3)").select("course", "type", "no").distinct().withColumn("wrong_count", F.lit(1))
+    return practice.with_key(practice.wrong_review(wrong, q)).select("course", "type", "no", "pos", "wrong_count", "key")
+
+
+@query("""WITH a AS (SELECT lang AS course, count(*) AS chunks FROM documents GROUP BY 1), b AS (SELECT lang AS course, count(*) AS questions FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1),
+c AS (SELECT event_type AS course, count(*) AS wrong FROM events GROUP BY 1)
+SELECT course, coalesce(chunks, 0) AS chunks, coalesce(questions, 0) AS questions, coalesce(wrong, 0) AS wrong FROM a FULL JOIN b USING (course) FULL JOIN c USING (course)""")
+def dashboard(spark, sf_dir):
+    """Counts of three sources side by side."""
+    d, l, e = (X.read(spark, sf_dir, t) for t in ("documents", "labels", "events"))
+    n = F.count(F.lit(1)).alias("n")
+    return practice.dashboard(d.groupBy(F.col("lang").alias("course")).agg(n), d.join(l.where("quality = 1"), "doc_id").groupBy(F.col("lang").alias("course")).agg(n), e.groupBy(F.col("event_type").alias("course")).agg(n))
+
+
+@query("""SELECT o_custkey, n_ok, n_failed, CASE WHEN n_failed = 0 THEN 'ok' WHEN n_ok > 0 THEN 'partial' ELSE 'failed' END AS status FROM (
+  SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'F') AS n_ok, count(*) FILTER (o_orderstatus = 'F') AS n_failed FROM orders GROUP BY 1)""")
+def import_outcomes(spark, sf_dir):
+    o = X.read(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderstatus") != "F").alias("ok"))
+    return practice.outcome_status(o, "o_custkey")
+
+
+# ------------------------------------------------------------------ rendering
+
+@query(r"""SELECT page_id, length(e) AS n, md5(e) AS escaped_md5 FROM (SELECT page_id, replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM pages)""")
+def escape_html(spark, sf_dir):
+    e = T.escape_html(F.col("html"))
+    return X.read(spark, sf_dir, "pages").select("page_id", F.length(e).alias("n"), F.md5(F.encode(e, "UTF-8")).alias("escaped_md5"))
+
+
+@query(rf"""SELECT doc_id, replace(regexp_replace(replace(replace(replace(substr(text, 1, 160), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(that|the)', '<span style="{T.MARK_STYLE}">\1</span>', 'g'), chr(10), ' ') || CASE WHEN length(text) > 160 THEN '…' ELSE '' END AS preview FROM documents""")
+def preview(spark, sf_dir):
+    """Highlighted previews."""
+    return X.read(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), F.array(F.lit("the"), F.lit("a"), F.lit("that"))).alias("preview"))
+
+
+@query(f"""WITH {_ITEMS} SELECT doc, pos, split_part(path, ' > ', 1) AS book, CASE WHEN contains(path, ' > ') THEN substr(path, strpos(path, ' > ') + 3) ELSE '' END AS rest, split_part(path, ' > ', -1) AS title FROM items""")
+def path_split(spark, sf_dir):
+    book, rest = T.split_path(F.col("path"))
+    return _items(spark, sf_dir).select("doc", "pos", book.alias("book"), rest.alias("rest"), T.section_title(F.col("path")).alias("title"))
+
+
+@query(rf"""SELECT n_nationkey, CASE WHEN n_nationkey = 0 THEN '' ELSE '<span style="{T.PAGE_STYLE}">&nbsp;P' || n_nationkey || '&nbsp;</span>&nbsp;' END AS badge FROM nation""")
+def page_badge(spark, sf_dir):
+    return X.read(spark, sf_dir, "nation").select("n_nationkey", T.page_badge(F.col("n_nationkey")).alias("badge"))
+
+
+@query(r"""SELECT r_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS md,
+ '<table><tr><th>key</th><th>name</th></tr>' || string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', '' ORDER BY n_nationkey) || '</table>' AS html FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1""")
+def table_rendering(spark, sf_dir):
+    """Cells to a Markdown table and on to HTML."""
+    n = X.read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("a"))
+    rows = F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), F.transform("a", lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"])))
+    md = n.select("r_regionkey", T.table_markdown(rows).alias("md"))
+    return md.select("r_regionkey", "md", T.table_html(F.col("md")).alias("html"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
