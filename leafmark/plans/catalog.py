@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
-from leafmark.operators import chunking, markdown, merging, practice, reading, retrieval
+from leafmark.operators import chunking, layout, markdown, merging, practice, reading, retrieval
 from leafmark.sources import fixtures as X
+from leafmark.sources.tables import stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -189,7 +190,8 @@ items AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY k1, k2, k3) -
 
 
 def _items(spark, sf_dir):
-    return markdown.parse_items(X.books(spark, sf_dir), "doc")
+    """The books' items as a written table: what reads them several times starts from a short plan."""
+    return stored(spark, markdown.parse_items(X.books(spark, sf_dir), "doc"), "items")[0]
 
 
 @query(f"WITH {_ITEMS} SELECT * FROM items")
@@ -454,6 +456,35 @@ def table_rendering(spark, sf_dir):
     return md.select("r_regionkey", "md", T.table_html(F.col("md")).alias("html"))
 
 
+# ------------------------------------------------------------------ layout
+
+_BOX = """b AS (SELECT l_orderkey AS page, l_linenumber AS ord, (l_partkey % 1200)::DOUBLE AS x0, (l_partkey % 1200 + 20 + l_suppkey % 300)::DOUBLE AS x1,
+  (l_linenumber * 260 + l_suppkey % 40)::DOUBLE AS y0, (l_linenumber * 260 + l_suppkey % 40 + 30)::DOUBLE AS y1, CASE WHEN l_partkey % 3 = 0 THEN (l_partkey % 400)::VARCHAR ELSE l_returnflag || ' text ' || l_partkey END AS text FROM lineitem)"""
+
+
+def _boxes(spark, sf_dir):
+    d = lambda c: F.expr(c).cast("double")
+    return X.read(spark, sf_dir, "lineitem").select(
+        F.lit("b").alias("book"), F.col("l_orderkey").alias("page"), F.lit(1450.0).alias("w"), F.lit(2000.0).alias("h"), F.col("l_linenumber").alias("ord"),
+        d("l_partkey % 1200").alias("x0"), d("l_partkey % 1200 + 20 + l_suppkey % 300").alias("x1"), d("l_linenumber * 260 + l_suppkey % 40").alias("y0"), d("l_linenumber * 260 + l_suppkey % 40 + 30").alias("y1"),
+        F.when(F.col("l_partkey") % 3 == 0, (F.col("l_partkey") % 400).cast("string")).otherwise(F.concat("l_returnflag", F.lit(" text "), F.col("l_partkey").cast("string"))).alias("text"))
+
+
+@query(f"""WITH {_BOX}, p AS (SELECT *, CASE WHEN (y0 + y1) / 2 > 2000 * 0.92 AND length(text) <= 12 THEN 'footer' WHEN x1 - x0 < 1450 * 0.12 AND x0 > 1450 * 0.75 THEN 'sidebar' ELSE 'body' END AS part FROM b),
+n AS (SELECT page, arg_min(v, ord) AS page_no FROM (SELECT page, ord, try_cast(text AS INT) AS v FROM p WHERE part = 'footer') WHERE v > 0 AND v < 2000 GROUP BY 1)
+SELECT page, ord, part, page_no FROM p LEFT JOIN n USING (page)""")
+def chrome_split(spark, sf_dir):
+    """Footers, sidebars, body and the printed page number."""
+    return layout.split_chrome(_boxes(spark, sf_dir)).select("page", "ord", "part", "page_no")
+
+
+@query()
+def restored_pages(spark, sf_dir):
+    """Pages of boxes restored to Markdown (no SQL: greedy; checked on fixtures)."""
+    p = layout.restore_pages(_boxes(spark, sf_dir).withColumn("page", F.col("page").cast("int")))
+    return p.select("page", F.md5(F.encode("markdown", "UTF-8")).alias("markdown_md5"), "page_no", F.size("dropped").alias("n_dropped"), F.size("figure_text").alias("n_labels"), "n_boxes", "n_paras", "n_tables")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
