@@ -10,6 +10,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmark.sources.tables import _fs_path, drop_stored, shared_dir, stored
+
+__all__ = ["ascii_lower", "components", "crc_mod5", "drop_stored", "shared_dir", "ship_package", "small_batches", "stored", "stored_by", "table"]
+
 #: Rows per Arrow batch handed to a Python worker; whole texts can be long, so batches stay short.
 BATCH_ROWS = 512
 
@@ -42,46 +46,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Where the setting is absent a temporary folder is used in local mode only; on a cluster
-    its absence is an error, since a machine-local folder would lose files.
-    """
-    sc = spark.sparkContext
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told is None:
-        got = sc._jsc.sc().getCheckpointDir()
-        told = got.get() if got.isDefined() else None
-    if told is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        told = tempfile.mkdtemp(prefix="leafmark-")
-        sc.setCheckpointDir(told)
-    return told.rstrip("/")
-
-
-def _fs_path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def drop_stored(spark: SparkSession, *paths: str) -> None:
-    for path in paths:
-        fs, p = _fs_path(spark, path)
-        fs.delete(p, True)
-
-
-def stored(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage and
-    survives lost executors. The table goes when the application ends, or with drop_stored()."""
-    path = f"{shared_dir(spark)}/leafmark-{uuid.uuid4().hex[:12]}-{name}"
-    df.write.option("compression", codec).parquet(path)
-    fs, p = _fs_path(spark, path)
-    fs.deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def stored_by(spark: SparkSession, df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
     """Write df as an uncompressed Parquet table in the shared folder, bucketed by key, so that later stages which
     group by key read it in place without a shuffle."""
