@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from .common import components, small_batches, stored, table
 
 SHINGLE, THRESHOLD = 5, 0.75
-SIG = 128  # minwise tokens of a signature
+SIG = 256  # minwise tokens of a signature
 TREES = 8
 SMALL = 1000  # members of a node that is compared exhaustively
 BLOCK = 500  # members of a block of a larger node
 LEVELS = 5
 #: Signature agreement: below MAYBE a pair is not checked (over three standard errors under the
 #: threshold); members of a large node that agree with a centre from SURE on leave the node.
-MAYBE, SURE = 0.62, 0.87
+MAYBE, SURE = 0.665, 0.85
 _MULT = np.random.default_rng(20250101).integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEEDS = np.random.default_rng(20250102).integers(1, 2**63, SIG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POSITIONS = np.random.default_rng(20250103).permutation(SIG)
@@ -76,8 +76,8 @@ def signature(s: np.ndarray) -> np.ndarray:
     """The minwise tokens of a set, as SIG unsigned 32-bit numbers."""
     out = np.full(SIG, np.uint64(0xFFFFFFFFFFFFFFFF))
     with np.errstate(over="ignore"):
-        for a in range(0, len(s), 512):
-            part = s[a:a + 512, None] * _SEEDS[None, :]
+        for a in range(0, len(s), 256):
+            part = s[a:a + 256, None] * _SEEDS[None, :]
             np.minimum(out, part.min(0), out=out)
     return (out >> np.uint64(32)).astype(np.uint32)
 
@@ -292,7 +292,7 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
 def confirm(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Of candidate links (u, v), those whose full sets have 100 * |A and B| >= 100 * threshold * |A or B|."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    wanted = pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct()
     # always by merge: what moves then follows the input at every size
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted.hint("merge"), "id")
 
