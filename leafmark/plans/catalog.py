@@ -458,14 +458,14 @@ def table_rendering(spark, sf_dir):
 
 # ------------------------------------------------------------------ layout
 
-_BOX = """b AS (SELECT l_orderkey AS page, l_linenumber AS ord, (l_partkey % 1200)::DOUBLE AS x0, (l_partkey % 1200 + 20 + l_suppkey % 300)::DOUBLE AS x1,
+_BOX = """b AS (SELECT l_orderkey AS page, l_linenumber * 1000000 + l_partkey AS ord, (l_partkey % 1200)::DOUBLE AS x0, (l_partkey % 1200 + 20 + l_suppkey % 300)::DOUBLE AS x1,
   (l_linenumber * 260 + l_suppkey % 40)::DOUBLE AS y0, (l_linenumber * 260 + l_suppkey % 40 + 30)::DOUBLE AS y1, CASE WHEN l_partkey % 3 = 0 THEN (l_partkey % 400)::VARCHAR ELSE l_returnflag || ' text ' || l_partkey END AS text FROM lineitem)"""
 
 
 def _boxes(spark, sf_dir):
     d = lambda c: F.expr(c).cast("double")
     return X.read(spark, sf_dir, "lineitem").select(
-        F.lit("b").alias("book"), F.col("l_orderkey").alias("page"), F.lit(1450.0).alias("w"), F.lit(2000.0).alias("h"), F.col("l_linenumber").alias("ord"),
+        F.lit("b").alias("book"), F.col("l_orderkey").alias("page"), F.lit(1450.0).alias("w"), F.lit(2000.0).alias("h"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("ord"),
         d("l_partkey % 1200").alias("x0"), d("l_partkey % 1200 + 20 + l_suppkey % 300").alias("x1"), d("l_linenumber * 260 + l_suppkey % 40").alias("y0"), d("l_linenumber * 260 + l_suppkey % 40 + 30").alias("y1"),
         F.when(F.col("l_partkey") % 3 == 0, (F.col("l_partkey") % 400).cast("string")).otherwise(F.concat("l_returnflag", F.lit(" text "), F.col("l_partkey").cast("string"))).alias("text"))
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmark.sources.tables import ship_package
+
 # File types by converter, and the parts of office files.
 TEXT_TYPES, OFFICE_TYPES = (".txt", ".md"), (".doc", ".ppt")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -124,6 +126,8 @@ def pdf_markdown(text: str) -> str:
 def convert(files: DataFrame) -> DataFrame:
     """files (path, content) -> (path, ok, markdown, error): text is copied, DOCX and PPTX are read here; PDF needs pypdf
     where it is installed. A file that fails does not stop the others."""
+    ship_package(files.sparkSession)
+
     def one(path: str, raw: bytes) -> str:
         kind = path[path.rfind("."):].lower() if "." in path else ""
         if kind in TEXT_TYPES:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from leafmark.sources.tables import ship_package
+
 OUT = "key string, in_book boolean, wrong_count long"
 
 
@@ -19,6 +21,8 @@ def fold(count: int, outcomes: list[bool], counting: bool) -> int:
 
 def wrong_book_stream(attempts: DataFrame, counting: bool = False) -> DataFrame:
     """attempts (key, ts, correct), a stream -> updates (key, in_book, wrong_count); run in update mode."""
+    ship_package(attempts.sparkSession)
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         n = fold(state.get[0] if state.exists else 0, [bool(c) for c in rows["correct"] if c is not None and not pd.isna(c)], counting)
