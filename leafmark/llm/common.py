@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.sources.tables import _fs_path, drop_stored, shared_dir, stored
+from leafmark.sources.tables import _fs_path, drop_stored, shared_dir, ship_package, stored
 
 __all__ = ["ascii_lower", "components", "crc_mod5", "drop_stored", "shared_dir", "ship_package", "small_batches", "stored", "stored_by", "table"]
 
@@ -22,20 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package's source to the executors' Python workers, once for each application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_leafmark_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="leafmark-src-")) / "leafmark.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(at))
-    sc._leafmark_shipped = True
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Ready a session for Python stages: workers get the package, and one Arrow batch of whole
     texts is bounded."""
