@@ -259,9 +259,9 @@ def markdown_profile(spark, sf_dir):
     return markdown.profile(X.read(spark, sf_dir, "documents"), "doc_id")
 
 
-@query(f"""WITH {_LN} SELECT doc_id, line_no, hit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS hit FROM ln WHERE contains(line, 'nation')) WHERE hit <= 6""")
+@query(f"""WITH {_LN} SELECT doc_id, line_no, hit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS hit FROM ln WHERE contains(line, 'token')) WHERE hit <= 6""")
 def keyword_occurrences(spark, sf_dir):
-    return markdown.occurrences(X.read(spark, sf_dir, "documents"), "doc_id", "nation")
+    return markdown.occurrences(X.read(spark, sf_dir, "documents"), "doc_id", "token")
 
 
 @query(rf"""WITH {_LN}, h AS (SELECT doc_id, line_no, CASE WHEN line = '' OR length(line) > 60 OR regexp_matches(line, '[。，；：！？]') THEN NULL
