@@ -158,7 +158,7 @@ def _fit_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [features(t) for t in pdf["text"]]})
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(run, "doc_id long, x array<double>").toPandas()
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).mapInPandas(run, "doc_id long, x array<double>").toPandas()
     got = got.sort_values("doc_id", kind="stable").sample(frac=1, random_state=0)  # one order, whatever the partitions
     return np.stack(list(got["x"])) if len(got) else np.empty((0, N_FEATURES))
 
@@ -178,98 +178,6 @@ def train(docs: DataFrame, positives: DataFrame, fit_rows: int = FIT_ROWS) -> Sc
     return fit_pu(xp, xu, estimate_prior(xp, xu))
 
 
-def score(self, x):
-        return _sigmoid(self.raw(self.inputs(x)))
-
-
-def _adam(model: Scaled, grad, steps: int, rate: float = 0.02, decay: float = 1e-3):
-    m = v = mb = vb = 0.0
-    for t in range(1, steps + 1):
-        gw, gb = grad()
-        gw = gw + decay * model.w
-        m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        r = rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-        model.w -= r * m / (np.sqrt(v) + 1e-8)
-        model.b -= r * mb / (np.sqrt(vb) + 1e-8)
-
-
-def fit_plain(xp: np.ndarray, xu: np.ndarray, steps: int = 300) -> Scaled:
-    """Positives against unlabelled, by logistic loss with balanced classes."""
-    model = Scaled(np.concatenate([xp, xu]))
-    zp, zu = model.inputs(xp), model.inputs(xu)
-
-    def grad():
-        dp, du = _sigmoid(model.raw(zp)) - 1, _sigmoid(model.raw(zu))
-        return (zp.T @ dp) / len(zp) + (zu.T @ du) / len(zu), dp.mean() + du.mean()
-    _adam(model, grad, steps)
-    return model
-
-
-def estimate_prior(xp: np.ndarray, xu: np.ndarray, delta: float = 0.1) -> float:
-    """The share of positives in the unlabelled rows, by the best bin of held-out scores."""
-    if min(len(xp), len(xu)) < 20:
-        return 0.5
-    model = fit_plain(xp[::2], xu[::2])
-    p, u = np.sort(model.score(xp[1::2])), np.sort(model.score(xu[1::2]))
-    cut = np.unique(np.concatenate([p, u]))
-    qp, qu = 1 - np.searchsorted(p, cut) / len(p), 1 - np.searchsorted(u, cut) / len(u)
-    slack = np.sqrt(np.log(4 / delta) / 2 / len(u)) + np.sqrt(np.log(4 / delta) / 2 / len(p))
-    ok = qp > 0.05
-    best = np.argmin((qu[ok] + slack) / qp[ok])
-    return float(np.clip(qu[ok][best] / qp[ok][best], 0.05, 0.99))
-
-
-def fit_pu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 800) -> Scaled:
-    """Logistic model of least non-negative unbiased risk. Where the estimated risk of the negatives falls under
-    zero, the step goes against it instead, as the method has it."""
-    model = Scaled(np.concatenate([xp, xu]))
-    zp, zu = model.inputs(xp), model.inputs(xu)
-    model.b = float(np.log(prior / (1 - prior)))
-    soft = lambda z: np.logaddexp(0, z)
-
-    def grad():
-        fp, fu = model.raw(zp), model.raw(zu)
-        sp, su = _sigmoid(fp), _sigmoid(fu)
-        negative = soft(fu).mean() - prior * soft(fp).mean()
-        pull = prior * (sp - 1)
-        gn_w, gn_b = (zu.T @ su) / len(zu) - prior * (zp.T @ sp) / len(zp), su.mean() - prior * sp.mean()
-        if negative < 0:
-            return -gn_w, -gn_b
-        return (zp.T @ pull) / len(zp) + gn_w, pull.mean() + gn_b
-    _adam(model, grad, steps)
-    return model
-
-
-def _sample(docs: DataFrame, rows: int) -> np.ndarray:
-    """Features of at most `rows` documents, the first by a hash of the id."""
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"x": [features(t) for t in pdf["text"]]})
-    ids = docs.select("doc_id", F.xxhash64(F.col("doc_id"), F.lit("fit")).alias("h"), "text")
-    n = ids.count()
-    if n > rows:  # a hash threshold keeps little more than is asked for; the limit then trims it
-        share = min(1.0, 1.3 * rows / n)
-        ids = ids.where(F.pmod(F.col("h"), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = ids.select("text").mapInPandas(run, "x array<double>").limit(rows).toPandas()["x"]
-    return np.stack(list(got)) if len(got) else np.empty((0, N_FEATURES))
-
-
-def train(docs: DataFrame, positives: DataFrame, fit_rows: int = FIT_ROWS) -> Scaled:
-    """docs: unlabelled (doc_id, text); positives (doc_id): trusted ones among them.
-
-    Fitted on at most fit_rows positives and fit_rows unlabelled rows. With no positives or no
-    documents the model gives one half to every text.
-    """
-    small_batches(docs.sparkSession)
-    ids = positives.select("doc_id").distinct()
-    xp = _sample(docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= 100_000 else ids, "doc_id"), fit_rows)
-    xu = _sample(docs, fit_rows)
-    if not len(xp) or not len(xu):
-        return Scaled(np.zeros((1, N_FEATURES)))
-    return fit_pu(xp, xu, estimate_prior(xp, xu))
-
-
 def score(docs: DataFrame, model: Scaled) -> DataFrame:
     """(doc_id, score double): one row per document; null and empty texts are scored as empty."""
     small_batches(docs.sparkSession)
