@@ -4,7 +4,9 @@ A rotation that makes sign bits of centred vectors keep most of their informatio
 alternating between codes and an orthogonal fit (on a bounded, hash-chosen sample); thresholds at
 the medians balance the bits. Every vector is indexed: its codes are cut into substrings, one
 Hamming table for each, and vectors that share a substring in any table meet. Several rotations
-give independent codes. What meets is screened by Hamming distance on the codes and reranked by
+give independent codes. Substrings grow with the number of vectors and meet less often, so rotations
+are added until RECALL of the pairs at the threshold, measured on partners made for sampled vectors,
+meet in some table. What meets is screened by Hamming distance on the codes and reranked by
 cosine on the original vectors in double precision.
 
 Equal vectors are one class with a count, so copies are never paired. Buckets of any size are
@@ -13,6 +15,9 @@ compared in blocks; only sums for each vector and a forest of links leave a bloc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +26,15 @@ from pyspark.sql import functions as F
 from .common import components, ship_package, stored, table
 
 THRESHOLD = 0.95
-ROTATIONS = 4
+ROTATIONS = 4  # rotations at the least; their codes are screened by Hamming distance
+RECALL = 0.999  # share of the pairs at the threshold that meet
+STEPS = 64  # rotations at one width of the substrings; where they do not reach RECALL, substrings get shorter
 FIT_ROWS = 20_000  # most vectors that the rotations are learned from
 BLOCK = 512
 
 
-def learn(sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = 30, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(projection d x bits, thresholds bits) of each rotation; as many bits as dimensions, up to 64."""
+def rotation(sample: np.ndarray, rounds: int = 30, seed: int = 7) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(projection d x bits, thresholds bits) of one rotation after another; as many bits as dimensions, up to 64."""
     d = sample.shape[1]
     bits = min(64, d)
     unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
@@ -36,16 +43,55 @@ def learn(sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = 30, seed
     basis = np.zeros((d, bits))
     basis[:, :min(bits, len(vt))] = vt[:bits].T
     v = (unit - mean) @ basis
-    out = []
-    for r in range(rotations):
+    for r in count():
         q, _ = np.linalg.qr(np.random.default_rng(seed + r).normal(size=(bits, bits)))
         for _ in range(rounds):
             b = np.where(v @ q >= 0, 1.0, -1.0)
             u, _, wt = np.linalg.svd(v.T @ b)
             q = u @ wt
         p = basis @ q
-        out.append((p, np.median(unit @ p, axis=0)))
-    return out
+        yield p, np.median(unit @ p, axis=0)
+
+
+def partners(sample: np.ndarray, threshold: float, rows: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled vectors, and for each a vector at the threshold's cosine: off in any direction, or towards another sampled vector."""
+    r = np.random.default_rng(seed)
+    x = sample[r.integers(0, len(sample), rows)]
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    off = r.normal(size=x.shape)
+    half = rows // 2
+    other = sample[r.integers(0, len(sample), half)]
+    off[:half] = other / np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-300) + 1e-6 * off[:half]
+    off -= (off * x).sum(1, keepdims=True) * x
+    off /= np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-300)
+    return x, threshold * x + np.sqrt(max(0.0, 1 - threshold * threshold)) * off
+
+
+def plan(sample: np.ndarray, n: int, threshold: float, rotations: int = ROTATIONS, recall: float = RECALL):
+    """(model, tables, most, recall measured): rotations and tables for n vectors, and the bits that a near code may differ in."""
+    bits = min(64, sample.shape[1])
+    # codes are steadier on the vectors that they were fitted to, so a quarter is kept out of the fit
+    held, fit = (sample[::4], np.delete(sample, np.s_[::4], 0)) if len(sample) >= 64 else (sample, sample)
+    x, y = partners(held, threshold)
+    half, source, model, cx, cy = len(x) // 2, rotation(fit), [], [], []
+    width = min(bits, max(8, int(np.ceil(np.log2(max(n, 2)))) - 3))
+    while True:
+        for used in range(1, STEPS + 1):
+            if used > len(model):
+                model.append(next(source))
+                cx.append(codes(x, model[-1:])[:, 0])
+                cy.append(codes(y, model[-1:])[:, 0])
+            if used < rotations:
+                continue
+            a, b = np.stack(cx[:used], 1), np.stack(cy[:used], 1)
+            tables = substrings(width, bits, used)
+            met = (table_keys(a, tables) == table_keys(b, tables)).any(1)
+            got = min(met[:half].mean(), met[half:].mean())
+            if got >= recall or width == 0:
+                near = np.bitwise_count(a[:, :rotations] ^ b[:, :rotations]).min(1)
+                # four standard errors over a pair at the threshold, or what the partners need
+                return model[:used], tables, max(int(bits * 0.25) + 1, int(near.max())), float(got)
+        width -= 1
 
 
 def codes(x: np.ndarray, model) -> np.ndarray:
@@ -60,22 +106,28 @@ def codes(x: np.ndarray, model) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def substrings(n: int, bits: int = 64) -> list[tuple[int, int]]:
-    """(shift, width) of the tables for n vectors: substrings of about log2(n) - 3 bits, 8 at least."""
-    width = min(bits, max(8, int(np.ceil(np.log2(max(n, 2)))) - 3))
-    m = max(1, bits // width)
-    cut = [bits * j // m for j in range(m + 1)]
-    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+def substrings(width: int, bits: int = 64, rotations: int = ROTATIONS) -> list[list[tuple[int, int, int]]]:
+    """Tables of substrings of so many bits, taken from the codes on end: each the pieces (rotation, shift, width) of its substring."""
+    if not width:
+        return [[]]
+    out = []
+    for a in range(0, bits * rotations - width + 1, width):
+        r, shift = divmod(a, bits)
+        first = min(width, bits - shift)
+        out.append([(r, shift, first)] + ([(r + 1, 0, width - first)] if first < width else []))
+    return out
 
 
 def table_keys(code: np.ndarray, tables) -> np.ndarray:
-    """n x (rotations * tables) keys: which table, and the substring's value."""
+    """n x tables keys: which table, and the substring's value."""
     out = []
-    for r in range(code.shape[1]):
-        for j, (shift, width) in enumerate(tables):
-            value = (code[:, r] >> np.uint64(shift)) & np.uint64((1 << width) - 1 if width < 64 else 0xFFFFFFFFFFFFFFFF)
-            x = value * np.uint64(0x9E3779B97F4A7C15) if width > 48 else value
-            out.append((x & np.uint64((1 << 48) - 1)) | np.uint64((r * len(tables) + j) << 48))
+    for j, pieces in enumerate(tables):
+        value = np.zeros(len(code), np.uint64)
+        for r, shift, width in pieces:
+            part = (code[:, r] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+            value = (value << np.uint64(width)) | part if width < 64 else part
+        x = value * np.uint64(0x9E3779B97F4A7C15) if sum(w for *_, w in pieces) > 48 else value
+        out.append((x & np.uint64((1 << 48) - 1)) | np.uint64(j << 48))
     return np.stack(out, 1).astype(np.int64)
 
 
@@ -102,9 +154,7 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, rotations: int
     if n == 0:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     sample = classes.orderBy(F.xxhash64("id")).limit(fit_rows).select("v").toPandas()["v"]
-    model = learn(np.stack([np.asarray(x, np.float64) for x in sample]), rotations)
-    tables = substrings(n, min(64, d))
-    most = int(min(64, d) * 0.25) + 1  # most bits that a code may differ in: four standard errors over a pair at the threshold
+    model, tables, most, _ = plan(np.stack([np.asarray(x, np.float64) for x in sample]), n, threshold, rotations)
 
     def code_rows(batches):
         for pdf in batches:
@@ -112,7 +162,8 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, rotations: int
             yield pd.DataFrame({"id": pdf["id"], "codes": [x.tobytes() for x in c], "keys": list(table_keys(c, tables))})
 
     coded, _ = stored(spark, classes.select("id", "v").mapInPandas(code_rows, "id long, codes binary, keys array<bigint>"), "vector-codes")
-    probes = coded.select("id", "codes", F.explode("keys").alias("key"))
+    # the codes of the first rotations are enough for the screen
+    probes = coded.select("id", F.substring("codes", 1, 8 * rotations).alias("codes"), F.explode("keys").alias("key"))
     sizes = probes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met, _ = stored(spark, probes.join(sizes, "key"), "vector-buckets")
 
@@ -142,7 +193,7 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, rotations: int
         "key", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "id", "codes", "v", "m")
 
     def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _rerank(pdf, tables, threshold, most)
+        return _rerank(pdf, tables, threshold, most, rotations)
 
     cell_key = F.xxhash64("key", "bi", "bj").alias("cell")
     found = _grouped(cells.select(cell_key, "key", "bi", "bj", "b", "id", "codes", "v", "m"), rerank, None, "id long, n long, to long", by="cell", each=True)
@@ -189,7 +240,7 @@ def _grouped(df: DataFrame, f, columns, schema: str, by: str = "key", each: bool
     return src.repartition(by).sortWithinPartitions(by).mapInPandas(run, schema)
 
 
-def _rerank(pdf: pd.DataFrame, tables, threshold: float, most: int) -> pd.DataFrame:
+def _rerank(pdf: pd.DataFrame, tables, threshold: float, most: int, rotations: int) -> pd.DataFrame:
     """One cell of a bucket: for each vector with links that count here, the number of vectors it links with
     (n) and one vector it is joined with in the cell's forest (to)."""
     bi, bj, b = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0]), pdf["b"].to_numpy()
@@ -201,7 +252,7 @@ def _rerank(pdf: pd.DataFrame, tables, threshold: float, most: int) -> pd.DataFr
     right = np.flatnonzero(b == bj)
     link = x[left] @ x[right].T >= threshold
     near = np.zeros_like(link)
-    for r in range(code.shape[1]):
+    for r in range(rotations):
         near |= np.bitwise_count(code[left, r][:, None] ^ code[right, r][None, :]) <= most
     link &= near & (ids[left][:, None] != ids[right][None, :])
     # a pair counts in the first table alone in which it meets

@@ -327,6 +327,17 @@ def test_itq(spark):
     assert itq.near_dedup(df.where("vec_id < 0")).count() == 0
 
 
+def test_itq_recall_does_not_fall_with_the_number_of_vectors():
+    """Pairs at the threshold, other than those the plan was measured on, meet in the tables of any number of vectors."""
+    r = np.random.default_rng(21)
+    sample = r.normal(size=(4000, 64))
+    x, y = itq.partners(r.normal(size=(4000, 64)), 0.951, seed=22)
+    for n in (2000, 57_000, 600_000, 50_000_000):
+        model, tables, _, got = itq.plan(sample, n, itq.THRESHOLD)
+        met = (itq.table_keys(itq.codes(x, model), tables) == itq.table_keys(itq.codes(y, model), tables)).any(1)
+        assert got >= itq.RECALL and met.mean() >= 0.995, (n, met.mean())
+
+
 def test_pipeline_stages(docs, spark, tmp_path):
     labels = spark.createDataFrame([(i, 1, 0) for i, _ in ROWS if i >= 10], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
