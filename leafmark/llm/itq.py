@@ -16,6 +16,7 @@ compared in blocks; only sums for each vector and a forest of links leave a bloc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -135,8 +136,8 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, rotations: int
     """One row per vector: vec_id, n_links, component_id, kept.
 
     vectors needs vec_id and embedding; other columns are ignored. Vectors that are null, empty, zero
-    or hold null or non-finite numbers link with nothing; so do vectors of another length than the
-    most common one. Equal vectors link with one another. Rows that share a vec_id are separate
+    or hold null or non-finite numbers link with nothing. Vectors of each length have rotations and
+    tables of their own, and link with those of their length alone. Equal vectors link with one another. Rows that share a vec_id are separate
     vectors with the same name. An empty table gives no rows.
     """
     spark: SparkSession = vectors.sparkSession
@@ -144,15 +145,23 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, rotations: int
     e = F.col("embedding")
     usable = F.coalesce(e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e, usable.alias("ok"))
-    width = rows.where("ok").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = width["d"] if width else 1
-    good = rows.where(F.col("ok") & (F.size("embedding") == d) & F.col("vec_id").isNotNull())
+    fits = F.col("ok") & F.col("vec_id").isNotNull()
+    lengths = rows.where(fits).groupBy(F.size("embedding").alias("d")).count().where("count > 1").orderBy("d").collect()
     # x + 0 turns a negative zero into zero, so that equal vectors group
     same = F.transform("embedding", lambda x: x + F.lit(0).cast("float")) if dict(vectors.dtypes)["embedding"] == "array<float>" else F.transform("embedding", lambda x: x + F.lit(0.0))
-    classes, _ = stored(spark, good.groupBy(same.alias("v")).agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("m")), "vector-classes")
-    n = classes.count()
-    if n == 0:
+    named = [_one_length(spark, rows.where(fits & (F.size("embedding") == x["d"])).select("vec_id", same.alias("v")), x["d"], threshold, rotations, fit_rows) for x in lengths]
+    if not named:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    marked = rows.select("vec_id", F.when(fits, same).alias("v"))
+    return marked.join(reduce(DataFrame.unionByName, named), "v", "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
+        F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+def _one_length(spark: SparkSession, good: DataFrame, d: int, threshold: float, rotations: int, fit_rows: int) -> DataFrame:
+    """(v, n_links, component_id) of each distinct vector of d numbers; good has vec_id and v."""
+    classes, _ = stored(spark, good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("m")), "vector-classes")
+    n = classes.count()
     sample = classes.orderBy(F.xxhash64("id")).limit(fit_rows).select("v").toPandas()["v"]
     model, tables, most, _ = plan(np.stack([np.asarray(x, np.float64) for x in sample]), n, threshold, rotations)
 
@@ -202,12 +211,7 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, rotations: int
     comp = components(spark, found.select(F.col("id").alias("u"), F.col("to").alias("v")), "vec")
     named = classes.join(counts, "id", "left").join(comp, "id", "left").select(
         "v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    named, _ = stored(spark, named, "vector-named")
-    fits = F.col("ok") & (F.size("embedding") == d) & F.col("vec_id").isNotNull()
-    marked = rows.select("vec_id", F.when(fits, same).alias("v"))
-    return marked.join(named, "v", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return stored(spark, named, "vector-named")[0]
 
 
 def _grouped(df: DataFrame, f, columns, schema: str, by: str = "key", each: bool = False) -> DataFrame:

@@ -338,6 +338,17 @@ def test_itq_recall_does_not_fall_with_the_number_of_vectors():
         assert got >= itq.RECALL and met.mean() >= 0.995, (n, met.mean())
 
 
+def test_itq_vectors_of_every_length(spark):
+    r = np.random.default_rng(4)
+    a, b = r.normal(size=(30, 16)), r.normal(size=(12, 24))
+    vectors = [*a, *b, b[0], b[1] + 1e-4, b[2] * 2, r.normal(size=5)]
+    got = {q.vec_id: q for q in itq.near_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")).collect()}
+    assert len(got) == len(vectors)
+    for i in range(len(vectors)):
+        twin = {30: 42, 31: 43, 32: 44, 42: 30, 43: 31, 44: 32}.get(i, i)
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (int(twin != i), min(i, twin), i <= twin), i
+
+
 def test_pipeline_stages(docs, spark, tmp_path):
     labels = spark.createDataFrame([(i, 1, 0) for i, _ in ROWS if i >= 10], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
