@@ -5,10 +5,11 @@ Documents with equal sets are one class; only class representatives go on. Each
 independent trees sends a representative down by the token at a position the node selects;
 small nodes are compared exhaustively (on signatures), and larger ones recurse: blocks of a node
 pick the member nearest to the block's majority signature as a centre, points that surely belong
-to a centre leave the node (as points of high average similarity do in the method), and the rest
-branch again on the positions that their node selects. Candidate links are confirmed on full
-sets, first those of a spanning forest of each node, then those between groups that are still
-apart; confirmed links are joined into components.
+to a centre leave the node, and the rest branch again on the positions that their node selects.
+Candidate links are confirmed on full sets, first those of a spanning forest of each node, then
+those between groups that are still apart; confirmed links are joined into components. A point that
+leaves a node is compared with all members of the node outside its group, as the method compares
+points of high average similarity; inside its group no link is needed.
 
 Nothing is capped: nodes that are still large after the last level are compared block by block.
 """
@@ -203,6 +204,7 @@ def _split_block(pdf: pd.DataFrame) -> pd.DataFrame:
 
     kind 0: a candidate link (id, to). kind 1: a centre (its node goes on without a branch).
     kind 2: a member that is not surely linked to the centre, or a centre, on a branch.
+    kind 3: a member that leaves its node (node is the node left).
     """
     ids, sigs, node = pdf["id"].to_numpy(), _matrix(pdf["sig"]), int(pdf["node"].iloc[0])
     order = np.sort(sigs, axis=0)
@@ -213,7 +215,9 @@ def _split_block(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = [(0, 0, int(i), int(ids[centre]), None) for i, s in zip(ids, near, strict=True) if s >= MAYBE and i != ids[centre]]
     up = np.array([node ^ 0x5851F42D4C957F2D], np.int64).astype(np.uint64)
     rows.append((1, int(_mix(up)[0].astype(np.int64)), int(ids[centre]), 0, sigs[centre].tobytes()))
-    stay = np.flatnonzero((near < SURE) | (np.arange(len(ids)) == centre))
+    stays = (near < SURE) | (np.arange(len(ids)) == centre)
+    rows += [(3, node, int(i), 0, None) for i in ids[~stays]]
+    stay = np.flatnonzero(stays)
     if len(stay) > 1 or (len(stay) and len(ids) > 1):
         rng = np.random.default_rng(node & 0x7FFFFFFFFFFFFFFF)  # the node selects: the same positions in all of its blocks
         chosen = rng.permutation(SIG)[:1 + (rng.random() < 1 / THRESHOLD - 1)]
@@ -232,18 +236,53 @@ def _grid(rows: DataFrame) -> DataFrame:
         F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("node"), "id", "sig")
 
 
+def _left_cells(rows: DataFrame, gone: DataFrame, groups: DataFrame) -> DataFrame:
+    """Nodes (node, id, sig, comp, role) in which every member that left a large node meets all members of it in other groups.
+
+    rows: members (node, id, sig) of large nodes; gone: those that left (node, id). Of two members in different groups one at
+    least is outside the node's commonest group, so those outside (role bit 1) meet all members (bit 2), in blocks; bit 4: left.
+    """
+    held = rows.join(gone.select("node").distinct(), "node", "left_semi").join(gone.withColumn("left", F.lit(4)), ["node", "id"], "left").join(
+        groups, "id", "left").select("node", "id", "sig", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("component_id", "id").alias("comp"))
+    held, _ = stored(rows.sparkSession, held, "join-left")
+    counted = held.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
+    common = counted.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n")).where("n > top.n").select(
+        "node", F.col("top.comp").alias("top"), F.ceil(F.col("n") / BLOCK).cast("int").alias("gm"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("gd"))
+    members = held.join(common, "node")
+    every = members.withColumn("bm", F.pmod(F.xxhash64("id"), F.col("gm")).cast("int")).withColumn("bd", F.explode(F.sequence(F.lit(0), F.col("gd") - 1))).withColumn("role", F.col("left") + 2)
+    out = members.where("comp <> top").withColumn("bd", F.pmod(F.xxhash64("id", F.lit(1)), F.col("gd")).cast("int")).withColumn(
+        "bm", F.explode(F.sequence(F.lit(0), F.col("gm") - 1))).withColumn("role", F.col("left") + 1)
+    return every.unionByName(out.select(every.columns)).select(F.xxhash64("node", "bd", "bm").alias("node"), "id", "sig", "comp", "role")
+
+
+def _left_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of cells, every pair that may link, in different groups, one of which left its node."""
+    node, ids, comp, role, sigs = pdf["node"].to_numpy(), pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["role"].to_numpy(), _matrix(pdf["sig"])
+    out = []
+    for a, b in _runs(node):
+        at = np.arange(a, b)
+        meets, left = at[role[a:b] & 2 > 0], at[role[a:b] & 6 == 6]
+        for i in at[role[a:b] & 1 > 0].tolist():
+            to = meets if role[i] & 4 else left
+            to = to[comp[to] != comp[i]]
+            if len(to):
+                out += [(int(ids[i]), int(j), 0) for j in ids[to[(sigs[to] == sigs[i]).mean(1) >= MAYBE]]]
+    return _ordered(out)
+
+
 def _compare(rows: DataFrame, f) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").mapInPandas(_whole_nodes(f), "u long, v long, node long").distinct()
 
 
-def tree_nodes(reps: DataFrame, levels: int = LEVELS) -> tuple[list[DataFrame], list[DataFrame]]:
-    """reps (id, sig, nodes) -> (tables (node, id, sig) of nodes to be compared exhaustively, tables of links (u, v) to centres)."""
+def tree_nodes(reps: DataFrame, levels: int = LEVELS) -> tuple[list[DataFrame], list[DataFrame], list[tuple[DataFrame, DataFrame]]]:
+    """reps (id, sig, nodes) -> (tables (node, id, sig) of nodes to be compared exhaustively, tables of links (u, v) to centres,
+    by level the members (node, id, sig) of large nodes and those that left them (node, id))."""
     spark = reps.sparkSession
     first = reps.select("id", F.explode("nodes").alias("node"))
     sizes = first.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held, _ = stored(spark, first.join(sizes, "node"), "join-level0")
     rows = held.join(reps.select("id", "sig"), "id")
-    small, centres = [], []
+    small, centres, gone = [], [], []
     for level in range(levels + 1):
         rows, _ = stored(spark, rows.select("node", "n", "id", "sig"), f"join-rows{level}")
         small.append(rows.where(f"n <= {SMALL}").select("node", "id", "sig"))
@@ -257,10 +296,11 @@ def tree_nodes(reps: DataFrame, levels: int = LEVELS) -> tuple[list[DataFrame],
         split, _ = stored(spark, large.withColumn("block", block).groupBy("node", "block").applyInPandas(
             _split_block, "kind int, node long, id long, to long, sig binary"), f"join-split{level}")
         centres.append(split.where("kind = 0").select(F.least("id", "to").alias("u"), F.greatest("id", "to").alias("v")))
-        down = split.where("kind > 0").select("node", "id", "sig").dropDuplicates(["node", "id"])
+        gone.append((large.select("node", "id", "sig"), split.where("kind = 3").select("node", "id")))
+        down = split.where("kind in (1, 2)").select("node", "id", "sig").dropDuplicates(["node", "id"])
         sizes = down.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         rows = down.join(sizes, "node")
-    return small, centres
+    return small, centres, gone
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -277,7 +317,7 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     different groups are. A pair inside a group needs no link of its own, so a group of any size costs a few links a member.
     """
     spark = docs.sparkSession
-    small, centres = tree_nodes(reps)
+    small, centres, gone = tree_nodes(reps)
     nodes = _union(small)
     found, _ = stored(spark, _compare(nodes, _first_links), "join-forest")
     pairs, _ = stored(spark, _union([found.where("u >= 0").select("u", "v"), *centres]).where("u <> v").distinct(), "join-pairs1")
@@ -285,7 +325,11 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     more = found.where("u < 0").select("node")
     groups = components(spark, links, "forest")
     again = nodes.join(more, "node", "left_semi").join(groups, "id", "left").select("node", "id", "sig", F.coalesce("component_id", "id").alias("comp"))
-    others, _ = stored(spark, _compare(again, _other_links).select("u", "v").join(pairs, ["u", "v"], "left_anti"), "join-pairs2")
+    apart = [_compare(again, _other_links).select("u", "v")]
+    if gone:
+        cells = _left_cells(_union([x for x, _ in gone]), _union([x for _, x in gone]), groups)
+        apart.append(_compare(cells, _left_links).select("u", "v"))
+    others, _ = stored(spark, _union(apart).distinct().join(pairs, ["u", "v"], "left_anti"), "join-pairs2")
     return links.unionByName(confirm(docs, others))
 
 

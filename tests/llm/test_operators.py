@@ -216,6 +216,28 @@ def test_near_dedup_with_tiny_nodes(docs, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_dedup(docs).collect()} == want
 
 
+def test_near_dedup_finds_edits_of_edits_in_a_large_family(spark):
+    """Each Q is near one P alone, and every P near the base that the family shares."""
+    r = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(804)]
+
+    def edit(words, name, at):
+        w = list(words)
+        for i in at:
+            w[i] = f"{name}e{i}"
+        return w
+    # an edit changes five shingles of 800: P to base 0.88, Q to P 0.78, Q to base 0.69
+    ps = [edit(base, f"p{k}", r.choice(np.arange(5, 400, 6), 10, False)) for k in range(1400)]
+    qs = [edit(ps[k], f"q{k}", r.choice(np.arange(405, 800, 6), 20, False)) for k in range(40)]
+    centres = [edit(base, f"c{k}", [r.integers(5, 800)]) for k in range(100)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([*ps, *qs, *centres])]
+    got = {x.doc_id: x.component_id for x in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hashes = minhash._WordHash()
+    s = [set(minhash.shingle_set(t, hashes).tolist()) for _, t in rows]
+    linked = [k for k in range(40) if 100 * len(s[k] & s[1400 + k]) >= 75 * len(s[k] | s[1400 + k])]
+    assert len(linked) >= 30 and all(got[1400 + k] == got[k] == 0 for k in linked), [k for k in linked if got[1400 + k] != got[k]]
+
+
 def test_components(spark):
     r = np.random.default_rng(5)
     e = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5)]
