@@ -2,8 +2,10 @@
 
 A small lexer reads source and configuration syntax into (name, literal) pairs: ``name = "v"``,
 ``name: v``, ``"name": "v"``, ``export NAME=v``, ``<name>v</name>``. Names bound to literals are
-constants; a later use of the name, alone or in a ``+`` chain, takes their value. A literal's
-score grows with how sensitive the target's name is and with how random the literal looks.
+constants; a later use of the name, alone or in a ``+`` chain, takes their value, and so do ``$NAME``
+and ``${NAME}``, which also take bare literals. Where a sensitive target takes a constant's value, the
+use and the literals at their definitions are reported. A literal's score grows with how sensitive the
+target's name is and with how random the literal looks.
 Base patterns (assign, access, hex) are always reported beside the lexer's own findings.
 """
 
@@ -38,11 +40,12 @@ _ASSIGN_STEMS = ("password", "passwd", "secret", "token", "api")
 
 _LEX = re.compile(
     r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,80})(?P=q)[ \t]*(?P<op>:=|=>|[:=])(?![=:/])[ \t]*"""
-    r"""(?P<rhs>(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[A-Za-z0-9+/_.\-=$@!%^&*#~?]+)"""
+    r"""(?P<rhs>(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|(?:\$\{[A-Za-z_][A-Za-z0-9_]*\}|[A-Za-z0-9+/_.\-=$@!%^&*#~?])+)"""
     r"""(?:[ \t]*\+[ \t]*(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[A-Za-z_][A-Za-z0-9_.]*))*)"""
     r"""|<(?P<xname>[A-Za-z_][A-Za-z0-9_.\-]{0,80})>(?P<xval>[^<>\n]{1,500})</(?P=xname)>"""
 )
 _PART = re.compile(r""""(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[^\s+"']+""")
+_USE = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_]*)\}|([A-Za-z_][A-Za-z0-9_]*))")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -64,40 +67,65 @@ def literal_score(value: str) -> float:
     return max(0.0, min(1.0, (bits - 1.5) / 2.5)) * min(1.0, 0.4 + 0.3 * (classes - 1) + (0.2 if n >= 20 else 0.0))
 
 
-def lex_pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(name, literal, start, end, by constant) of every assignment; start and end hold the right side's literal."""
-    known: dict[str, str] = {}
+def lex_pairs(text: str) -> Iterator[tuple[str, str, int, int, bool, tuple[tuple[int, int], ...]]]:
+    """(name, literal, start, end, by constant, sources) of every assignment; start and end hold the right side's literal, sources
+    the literals of the constants in it."""
+    known: dict[str, tuple[str, tuple]] = {}  # quoted constants, by their bare name
+    latest: dict[str, tuple[str, tuple]] = {}  # quoted and bare ones, by $NAME
     for m in _LEX.finditer(text):
         if m["xname"]:
-            yield m["xname"], m["xval"].strip(), m.start("xval"), m.end("xval"), False
+            yield m["xname"], m["xval"].strip(), m.start("xval"), m.end("xval"), False, ()
             continue
-        name, at, value, through = m["name"], m.start("rhs"), [], False
-        quoted = bare = 0
+        name, at, value, through, sources, own = m["name"], m.start("rhs"), [], False, [], []
+        quoted = bare = used = 0
+
+        def put(u):
+            got = latest.get(u[1] or u[2])
+            if got is None:
+                return u[0]
+            sources.extend(got[1])
+            return got[0]
+
         for p in _PART.finditer(m["rhs"]):
             x = p.group()
             if x[0] in "\"'":
-                value.append(x[1:-1])
+                before = len(sources)
+                value.append(_USE.sub(put, x[1:-1]) if x[0] == '"' and "$" in x else x[1:-1])
+                through = through or len(sources) > before
                 quoted += 1
+                own.append((at + p.start() + 1, at + p.end() - 1))
             elif x in known:
-                value.append(known[x])
+                value.append(known[x][0])
+                sources.extend(known[x][1])
                 through = True
             else:
-                value.append(x)
-                bare += 1
+                before = len(sources)
+                value.append(_USE.sub(put, x) if "$" in x else x)
+                if len(sources) > before:
+                    through = True
+                    used += 1
+                else:
+                    bare += 1
+                own.append((at + p.start(), at + p.end()))
         literal = "".join(value)
         if quoted or through or bare == 1:
-            if not bare:
-                known[name] = literal
+            # a long chain of constants repeats its literals
+            held = (literal, tuple(dict.fromkeys([*sources, *own] if not through or quoted or bare else sources)))
+            if not bare and not used:
+                known[name] = held
+            if not bare or (bare == 1 and not quoted):
+                latest[name] = held
             start, end = at, m.end("rhs")
             if quoted == 1 and not through and not bare:
                 start, end = at + 1, end - 1
-            yield name, literal, start, end, through
+            yield name, literal, start, end, through, tuple(dict.fromkeys(sources))
 
 
 def scan_text(text: str | None, threshold: float = 0.35) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets of a text, base kinds first at equal starts."""
     text = text or ""
     found: list[tuple[int, int, str]] = []
+    told: set[tuple[int, int]] = set()
     low = text.lower()
     if any(s in low for s in _ASSIGN_STEMS):
         found += [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -105,10 +133,13 @@ def scan_text(text: str | None, threshold: float = 0.35) -> list[tuple[int, int,
         found += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
     if any(s in low for s in _STEMS) and ("=" in text or ":" in text or "</" in text):
-        for name, literal, start, end, through in lex_pairs(text):
+        for name, literal, start, end, through, sources in lex_pairs(text):
             s = name_score(name)
             if s and s * literal_score(literal) >= threshold:
                 found.append((start, end, "constant" if through else "named"))
+                new = [x for x in sources if x not in told and x[0] < x[1]]
+                told.update(new)
+                found += [(*x, "constant") for x in new]
     return sorted(found, key=lambda f: (f[0], KINDS.index(f[2]), f[1]))
 
 

@@ -153,6 +153,15 @@ def test_secret_lexing():
     assert not any("hello" in x for x, _ in kinds)
 
 
+def test_constants_are_reported_where_they_are_defined():
+    for t, secret in (('v = "Zx9kQw3rTy7LmN"\npassword = v', "Zx9kQw3rTy7LmN"), ("A=kq3Zx9wTy7Lm2\nexport DB_KEY=$A", "kq3Zx9wTy7Lm2"),
+                      ("a: kq3Zx9wTy7Lm2\ndb_password: ${a}", "kq3Zx9wTy7Lm2"), ('A=kq3Zx9wTy7Lm2\nPASSWD="${A}"', "kq3Zx9wTy7Lm2"),
+                      ('a = "Zx9kQw3rTy7LmN"\nb = a\npassword = b', "Zx9kQw3rTy7LmN")):
+        at = t.index(secret)
+        assert (at, at + len(secret), "constant") in secrets.scan_text(t), t
+    assert not secrets.scan_text("A=kq3Zx9wTy7Lm2\nauth = A")  # a bare literal is not taken by its bare name
+
+
 def test_redact(docs):
     got = {r.doc_id: r for r in secrets.redact(docs).collect()}
     assert "04dbeb" not in got[202].text and "[secret]" in got[202].text and got[4].text is None and got[1].text == "Same TEXT é"
