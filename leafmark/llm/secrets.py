@@ -34,15 +34,15 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9,
     "credentials": 0.9, "private": 0.7, "key": 0.6, "auth": 0.7, "bearer": 0.8, "access": 0.4, "signature": 0.5, "salt": 0.5,
 }
-#: Cheap tests that a text could hold anything for the lexer.
-_STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "private", "signature", "salt")
+#: Cheap tests that a text could hold anything for the lexer: the sensitive words, less those that hold another.
+_STEMS = tuple(w for w in SENSITIVE if not any(v != w and v in w for v in SENSITIVE))
 _ASSIGN_STEMS = ("password", "passwd", "secret", "token", "api")
 
 _LEX = re.compile(
     r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,80})(?P=q)[ \t]*(?P<op>:=|=>|[:=])(?![=:/])[ \t]*"""
     r"""(?P<rhs>(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|(?:\$\{[A-Za-z_][A-Za-z0-9_]*\}|[A-Za-z0-9+/_.\-=$@!%^&*#~?])+)"""
     r"""(?:[ \t]*\+[ \t]*(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[A-Za-z_][A-Za-z0-9_.]*))*)"""
-    r"""|<(?P<xname>[A-Za-z_][A-Za-z0-9_.\-]{0,80})>(?P<xval>[^<>\n]{1,500})</(?P=xname)>"""
+    r"""|<(?P<xname>[A-Za-z_][A-Za-z0-9_.\-]*)>(?P<xval>[^<>\n]+)</(?P=xname)>"""
 )
 _PART = re.compile(r""""(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[^\s+"']+""")
 _USE = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_]*)\}|([A-Za-z_][A-Za-z0-9_]*))")
@@ -132,7 +132,8 @@ def scan_text(text: str | None, threshold: float = 0.35) -> list[tuple[int, int,
     if "AKIA" in text:
         found += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    if any(s in low for s in _STEMS) and ("=" in text or ":" in text or "</" in text):
+    plain = low.replace("_", "").replace("-", "").replace(".", "")  # two words of a name can make a sensitive one
+    if any(s in plain for s in _STEMS) and ("=" in text or ":" in text or "</" in text):
         for name, literal, start, end, through, sources in lex_pairs(text):
             s = name_score(name)
             if s and s * literal_score(literal) >= threshold:

@@ -162,6 +162,14 @@ def test_constants_are_reported_where_they_are_defined():
     assert not secrets.scan_text("A=kq3Zx9wTy7Lm2\nauth = A")  # a bare literal is not taken by its bare name
 
 
+def test_xml_values_of_any_length_and_every_sensitive_word():
+    for n in (500, 501, 5000):
+        v = ("aK3x9fQ2Lm8Zr41Tq" * 400)[:n]
+        assert (14, 14 + n, "named") in secrets.scan_text(f"<access_token>{v}</access_token>")
+    for word in (*secrets.SENSITIVE, "pass_word", "cre-dential"):
+        assert [k for *_, k in secrets.scan_text(f'{word}_id = "x9Kq-3rTy7LmN_Zw5pVb"') if k == "named"], word
+
+
 def test_redact(docs):
     got = {r.doc_id: r for r in secrets.redact(docs).collect()}
     assert "04dbeb" not in got[202].text and "[secret]" in got[202].text and got[4].text is None and got[1].text == "Same TEXT é"
