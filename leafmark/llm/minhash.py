@@ -28,18 +28,33 @@ from .common import components, small_batches, stored, table
 
 SHINGLE, THRESHOLD = 5, 0.75
 SIG = 256  # minwise tokens of a signature
+#: Each level of a large node takes BRANCHES positions. A pair at the threshold s meets in a tree with probability q = s without
+#: levels, and 1 - (1 - s * q) ** BRANCHES with one more; two positions keep it from falling below s at any depth (see recall()).
+BRANCHES = 2
 TREES = 8
 SMALL = 1000  # members of a node that is compared exhaustively
 BLOCK = 500  # members of a block of a larger node
 LEVELS = 5
-#: Signature agreement: below MAYBE a pair is not checked (over three standard errors under the
+#: Signature agreement: below MAYBE a pair is not checked (over four standard errors under the
 #: threshold); members of a large node that agree with a centre from SURE on leave the node.
-MAYBE, SURE = 0.665, 0.85
+MAYBE, SURE = 0.63, 0.85
 _MULT = np.random.default_rng(20250101).integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEEDS = np.random.default_rng(20250102).integers(1, 2**63, SIG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POSITIONS = np.random.default_rng(20250103).permutation(SIG)
 
 
+def recall(depth: int, similarity: float = THRESHOLD) -> float:
+    """Share of the pairs of a similarity that meet in one of the trees at least and pass MAYBE, if every large node has so many levels."""
+    n = np.arange(SIG + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, SIG + 1)))])
+    share = np.exp(logs[SIG] - logs - logs[::-1] + n * np.log(similarity) + (SIG - n) * np.log(1 - similarity))
+    s = n / SIG  # trees share one signature, so all of them see its agreement
+    q = s
+    for _ in range(depth):
+        q = 1 - (1 - s * q) ** BRANCHES
+    return float((share * np.where(s >= MAYBE, 1 - (1 - q) ** TREES, 0)).sum())
+
+
 class _WordHash(dict):
     def __missing__(self, w):
         if len(self) > 400_000:
@@ -220,7 +235,7 @@ def _split_block(pdf: pd.DataFrame) -> pd.DataFrame:
     stay = np.flatnonzero(stays)
     if len(stay) > 1 or (len(stay) and len(ids) > 1):
         rng = np.random.default_rng(node & 0x7FFFFFFFFFFFFFFF)  # the node selects: the same positions in all of its blocks
-        chosen = rng.permutation(SIG)[:1 + (rng.random() < 1 / THRESHOLD - 1)]
+        chosen = rng.permutation(SIG)[:BRANCHES]
         for p in chosen.tolist():
             x = (np.uint64(node & 0xFFFFFFFFFFFFFFFF) ^ (np.uint64(p + 1) << np.uint64(48))) + sigs[stay, p].astype(np.uint64) * _MULT[0]
             keys = _mix(x).astype(np.int64)

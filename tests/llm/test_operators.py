@@ -255,6 +255,21 @@ def test_near_dedup_finds_edits_of_edits_in_a_large_family(spark):
     assert len(linked) >= 30 and all(got[1400 + k] == got[k] == 0 for k in linked), [k for k in linked if got[1400 + k] != got[k]]
 
 
+def test_near_dedup_recall_by_depth():
+    """A node's own splits keep pairs at the threshold together; recall does not fall with depth."""
+    assert all(minhash.recall(d) >= 0.9999 for d in range(minhash.LEVELS + 1))
+    r, met, pairs = np.random.default_rng(6), 0, 400
+    import pandas as pd
+    for k in range(pairs):
+        a = r.integers(0, 60_000, minhash.SIG).astype(np.uint16)
+        b = np.where(r.random(minhash.SIG) < 0.75, a, a + np.uint16(1)).astype(np.uint16)
+        extra = r.integers(0, 60_000, minhash.SIG).astype(np.uint16)  # the block's centre is of no matter
+        got = minhash._split_block(pd.DataFrame({"id": [1, 2, 3], "sig": [a.tobytes(), b.tobytes(), extra.tobytes()], "node": [k * 977] * 3}))
+        nodes = [set(got[(got["kind"] == 2) & (got["id"] == i)]["node"]) for i in (1, 2)]
+        met += bool(nodes[0] & nodes[1])
+    assert met >= 0.9 * pairs  # one position alone, or now and then two: about 0.8
+
+
 def test_components(spark):
     r = np.random.default_rng(5)
     e = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5)]
