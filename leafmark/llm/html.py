@@ -23,6 +23,8 @@ BLOCKS = frozenset((
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul").split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset("script style template noscript textarea select iframe svg math canvas object title button".split())
+#: Elements whose own text is an article's; text right in a div, a cell or the body is not taken for it.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption section article main".split())
 CONTAINERS = frozenset("article main section div td body".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog head".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
@@ -167,7 +169,29 @@ class Page:
         if not got:
             return 0, 0.0
         node = max(got, key=lambda k: (got[k], -k))
-        return node, got[node]
+        return self.whole(node), got[node]
+
+    def whole(self, node: int) -> int:
+        """The outermost container that adds to a node nothing but text of an article: headings, paragraphs and the like of few links."""
+        best, at, inner = node, node, self._inside(node)
+        while True:
+            at = self.nodes[at][0]
+            if at <= 0 or self.nodes[at][3]:
+                return best
+            if self.nodes[at][1] not in CONTAINERS:
+                continue
+            outer = self._inside(at)
+            added = [(n, text, links) for n, text, links in self.blocks if outer[n] and not inner[n] and not self.nodes[n][3]]
+            if not all(self.nodes[n][1] in PROSE and links <= 0.4 * len(text) for n, text, links in added):
+                return best
+            if added:
+                best, inner = at, outer
+
+    def _inside(self, root: int) -> list[bool]:
+        inside = [False] * len(self.nodes)
+        for k in range(root, len(self.nodes)):
+            inside[k] = k == root or (self.nodes[k][0] >= 0 and inside[self.nodes[k][0]])
+        return inside
 
     def text(self, roots: set[int]) -> str:
         inside = [False] * len(self.nodes)

@@ -357,6 +357,15 @@ def test_html(spark):
     assert html.extract(df.where("page_id < 0")).count() == 0
 
 
+def test_html_nested_templates_keep_the_whole_article():
+    long = " ".join(f"Sentence number {i} of the story, with some words." for i in range(40))
+    a = f"<body><nav><a href=/>Home</a></nav><article><h1>Head</h1><p>A standfirst.</p><div class=content><p>{long}</p></div></article><div><a href=/x>More</a></div></body>"
+    b = f"<body><div class=post><p>Intro, short.</p><section class=a><p>{long}</p></section><section class=b><p>The shorter section.</p></section></div><div><a href=/x>More</a></div></body>"
+    for page, want in ((a, f"Head\nA standfirst.\n{long}"), (b, f"Intro, short.\n{long}\nThe shorter section.")):
+        got = html.Page(page)
+        assert got.extract(None) == want and got.extract([got.path(got.best()[0])]) == want
+
+
 def test_itq(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(400, 64))
