@@ -80,8 +80,14 @@ class NoticeSearch:
                 else:
                     merged.append([a, b])
             for a, b in merged:
-                for m in self.checks[i].finditer(norm, a, b):
-                    out.append((*m.span(), label, 1.0 - sum(m.fuzzy_counts) / len(text)))
+                # a best match is taken first; what lies on both sides of it may hold others
+                parts = [(a, b)]
+                while parts:
+                    a, b = parts.pop()
+                    m = self.checks[i].search(norm, a, b)
+                    if m and m.end() > m.start():
+                        out.append((*m.span(), label, 1.0 - sum(m.fuzzy_counts) / len(text)))
+                        parts += [(a, m.start()), (m.end(), b)]
         return sorted(out)
 
 

@@ -126,6 +126,12 @@ def test_license_edits_are_found_with_spans():
     assert licenses.scan_text("nothing of the kind here")[5] == set()
 
 
+def test_weaker_license_notices_beside_a_better_one_have_spans():
+    for text in ("all rigts reserved all rights reserved", "all rights reserved all rigts reserved", "all rigts reserved all rights reserved all rihts reserved"):
+        spans = licenses.scan_text(text)[7]
+        assert [text[a:b] for a, b, label, _ in spans if label == "reserved"] == re.findall(r"all \w+ reserved", text)
+
+
 def brute_secrets(t):
     t, out = t or "", []
     n = "".join
