@@ -293,3 +293,16 @@ def _rerank(pdf: pd.DataFrame, tables, threshold: float, most: int, rotations: i
 
 def op10_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+# Links and components of a small table, by the cosine of all pairs.
+SQL = r"""
+WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+ok AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS n FROM e WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND a.n > 0 AND b.n > 0 AND list_inner_product(a.x, b.x) / (a.n * b.n) >= 0.95),
+r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+c AS (SELECT u AS vec_id, least(u, min(v)) AS component_id FROM r GROUP BY u),
+n AS (SELECT u AS vec_id, count(*) AS n_links FROM l GROUP BY u)
+SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, coalesce(c.component_id, e.vec_id) AS component_id, coalesce(c.component_id, e.vec_id) = e.vec_id AS kept
+FROM e LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""

@@ -1,7 +1,7 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 Documents become sets of hashed word shingles and, from those, signatures of minwise tokens.
-Documents with equal sets are one class; only class representatives go on. Each of several
+Documents with equal sets are one class, named by a hash of the set; one document of each class goes on. Each of several
 independent trees sends a representative down by the token at a position the node selects;
 small nodes are compared exhaustively (on signatures), and larger ones recurse: blocks of a node
 pick the member nearest to the block's majority signature as a centre, points that surely belong
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, stored, table
+from .common import components, ship_package, stored, table, with_key
 
 SHINGLE, THRESHOLD = 5, 0.75
 SIG = 256  # minwise tokens of a signature
@@ -103,7 +103,7 @@ def _short(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key binary(16), sig binary, nodes array<long>): one row per document."""
+    """(doc_id, text_key, n_shingles, cls, sig binary, nodes array<long>): one row per document; cls names its set."""
     def run(batches):
         hashes = _WordHash()
         for pdf in batches:
@@ -114,14 +114,20 @@ def sketch(docs: DataFrame) -> DataFrame:
                 if not len(s):
                     keys.append(None), sigs.append(None), nodes.append(None)
                     continue
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                keys.append(xxhash.xxh3_64_intdigest(s.tobytes()) >> 1)  # never negative
                 sig = signature(s)
                 sigs.append(_short(sig).tobytes())
                 at = _POSITIONS[:TREES]
                 x = sig[at].astype(np.uint64) | (np.arange(TREES, dtype=np.uint64) << np.uint64(40))
                 nodes.append(_mix(x).astype(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "set_key": keys, "sig": sigs, "nodes": nodes})
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, sig binary, nodes array<bigint>")
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n_shingles": n, "cls": pd.array(keys, "Int64"), "sig": sigs, "nodes": nodes})
+    rows = docs.select("doc_id", "text", text_key(docs["text"]).alias("text_key"))
+    return with_key(rows, "doc_id", run, "doc_id long, text_key long, n_shingles long, cls long, sig binary, nodes array<bigint>")
+
+
+def text_key(text):
+    """With doc_id, what tells rows apart: ids may be null or repeat."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _matrix(sigs) -> np.ndarray:
@@ -336,7 +342,7 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     nodes = _union(small)
     found, _ = stored(spark, _compare(nodes, _first_links), "join-forest")
     pairs, _ = stored(spark, _union([found.where("u >= 0").select("u", "v"), *centres]).where("u <> v").distinct(), "join-pairs1")
-    links, _ = stored(spark, confirm(docs, pairs), "join-links1")
+    links, _ = stored(spark, confirm(docs, reps, pairs), "join-links1")
     more = found.where("u < 0").select("node")
     groups = components(spark, links, "forest")
     again = nodes.join(more, "node", "left_semi").join(groups, "id", "left").select("node", "id", "sig", F.coalesce("component_id", "id").alias("comp"))
@@ -345,15 +351,17 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
         cells = _left_cells(_union([x for x, _ in gone]), _union([x for _, x in gone]), groups)
         apart.append(_compare(cells, _left_links).select("u", "v"))
     others, _ = stored(spark, _union(apart).distinct().join(pairs, ["u", "v"], "left_anti"), "join-pairs2")
-    return links.unionByName(confirm(docs, others))
+    return links.unionByName(confirm(docs, reps, others))
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of candidate links (u, v), those whose full sets have 100 * |A and B| >= 100 * threshold * |A or B|."""
+def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Of candidate links (u, v) between classes, those whose full sets have 100 * |A and B| >= 100 * threshold * |A or B|."""
     spark = docs.sparkSession
     wanted = pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct()
+    wanted = wanted.join(reps.select("id", F.col("doc_id").alias("at"), F.col("text_key").alias("key")), "id")
     # always by merge: what moves then follows the input at every size
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted.hint("merge"), "id")
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    texts = rows.join(wanted.hint("merge"), rows["doc_id"].eqNullSafe(wanted["at"]) & (rows["text_key"] == wanted["key"])).select("id", "text")
 
     def sets(batches):
         hashes = _WordHash()
@@ -380,31 +388,50 @@ def confirm(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, text_key, n_shingles, component_id, kept.
 
     docs needs doc_id and text; other columns are ignored. Texts without words (null, empty) have no
     shingles and link with nothing; texts of fewer than five words have one shingle, the whole
-    sequence. Rows that share a doc_id are one document; a row without a doc_id gets null
-    component_id and is kept. An empty table gives no rows.
+    sequence. Rows that share a doc_id are each compared by their own text. A row without a doc_id links
+    as any other; component_id is the smallest doc_id of the component, null where it has none, and such a row
+    is kept only there. An empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
+    ship_package(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches, _ = stored(spark, sketch(docs), "sketches")
-    classes, _ = stored(spark, sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
-    reps = sketches.join(classes.select("id", "set_key"), (sketches["doc_id"] == F.col("id")) & (sketches["set_key"] == classes["set_key"])).select("id", "sig", "nodes")
+    # one row of each class stands for it: that of the smallest doc_id; equal sets have equal signatures
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "sig", "nodes")).alias("r")
+    reps, _ = stored(spark, sketches.where("cls is not null").groupBy(F.col("cls").alias("id")).agg(first).select("id", "r.doc_id", "r.text_key", "r.sig", "r.nodes"), "classes")
     groups = components(spark, link(docs, reps), "near")
-    named, _ = stored(spark, classes.join(groups, "id", "left").select("set_key", F.coalesce("component_id", "id").alias("component_id")), "named")
-    return sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
+    named, _ = stored(spark, reps.select("id", "doc_id").join(groups, "id", "left").select("id", "doc_id", F.coalesce("component_id", "id").alias("comp")), "named")
+    lowest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    told = named.select(F.col("id").alias("cls"), "comp").join(lowest, "comp").select("cls", "component_id")
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return sketches.select("doc_id", "text_key", "n_shingles", "cls").join(told, "cls", "left").select(
+        "doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     """One document of each group of near duplicates, with its own columns."""
-    ids = verdict.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    ids = verdict.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]) & (text_key(docs["text"]) == ids["kept_key"]), "left_semi")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+# Sets, links and components of a small table, by plain comparison of all pairs that share a shingle.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM pairs WHERE 100 * k >= 75 * (na + nb - k)),
+r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+c AS (SELECT u AS doc_id, least(u, min(v)) AS component_id FROM r GROUP BY u)
+SELECT w.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id, coalesce(c.component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

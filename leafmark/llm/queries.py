@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op5_minhash_near_dedup": minhash.SQL, "op10_itq_near_dedup": itq.SQL}
