@@ -9,6 +9,7 @@ gives the span and the number of edits. The base phrases are counted exactly, by
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from functools import lru_cache
 
@@ -17,7 +18,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table
+from .common import ship_package, table, with_key
 
 # Words and base phrases of the contract.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -63,31 +64,29 @@ class NoticeSearch:
         self.auto.make_automaton()
 
     def find(self, norm: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, label, similarity) of every notice found, leftmost first."""
-        windows = defaultdict(list)
+        """(start, end, label, similarity) of every notice found, leftmost first.
+
+        Each seed's own window, which holds any match that the seed is part of, is verified; windows are as long as the notice
+        and its edits, so time grows with the hits. Of matches of a notice that overlap, those of fewer edits stay.
+        """
+        windows = defaultdict(set)
         for end, (size, where) in self.auto.iter(norm):
             for i, at in where:
-                text, _, k = self.notices[i]
-                start = end + 1 - size - at
-                windows[i].append((max(0, start - k), min(len(norm), start + len(text) + k)))
+                windows[i].add(end + 1 - size - at)
         out = []
-        for i, spans in windows.items():
-            text, label, _ = self.notices[i]
-            merged = []
-            for a, b in sorted(spans):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                # a best match is taken first; what lies on both sides of it may hold others
-                parts = [(a, b)]
-                while parts:
-                    a, b = parts.pop()
-                    m = self.checks[i].search(norm, a, b)
-                    if m and m.end() > m.start():
-                        out.append((*m.span(), label, 1.0 - sum(m.fuzzy_counts) / len(text)))
-                        parts += [(a, m.start()), (m.end(), b)]
+        for i, starts in windows.items():
+            text, label, k = self.notices[i]
+            hits = set()
+            for start in starts:
+                m = self.checks[i].search(norm, max(0, start - k), min(len(norm), start + len(text) + k))
+                if m and m.end() > m.start():
+                    hits.add((sum(m.fuzzy_counts), *m.span()))
+            taken: list[tuple[int, int]] = []
+            for edits, a, b in sorted(hits):
+                at = bisect_left(taken, (a, b))
+                if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                    taken.insert(at, (a, b))
+                    out.append((a, b, label, 1.0 - edits / len(text)))
         return sorted(out)
 
 
@@ -116,9 +115,9 @@ def base(norm: str) -> tuple[int, int, int | None, int | None, set[str]]:
         if phrase not in norm:
             continue
         framed = framed or f" {norm} "
-        at = framed.find(f" {phrase} ")
+        at, k, told = framed.find(f" {phrase} "), 0, 0
         while at >= 0:
-            k = framed.count(" ", 0, at)
+            k, told = k + framed.count(" ", told, at), at
             n += 1
             first = k if first is None else min(first, k)
             last = k if last is None else max(last, k)
@@ -135,10 +134,10 @@ def scan_text(text: str | None, search: NoticeSearch | None = None):
     spans = []
     if found:  # back to the text's own code points
         ends = [m.span() for m in re.finditer(WORD, lower_ascii(text))]
+        gaps = [m.start() for m in re.finditer(" ", norm)]
         for a, b, label, s in found:
-            inner = norm[a:b]
-            first_word = norm.count(" ", 0, a) + (inner[:1] == " ")
-            last_word = norm.count(" ", 0, b) - (inner[-1:] == " ")
+            first_word = bisect_left(gaps, a) + (norm[a] == " ")
+            last_word = bisect_left(gaps, b) - (norm[b - 1] == " ")
             spans.append((ends[min(first_word, len(ends) - 1)][0], ends[min(last_word, len(ends) - 1)][1], label, s))
     return words, n, first, last, labels, labels | {x[2] for x in found}, score, spans
 
@@ -150,7 +149,7 @@ def scan(docs: DataFrame, notices=NOTICES, error_rate: float = ERROR_RATE) -> Da
     labels (empty strings), null places and score 0. spans: array of (start, end, label, similarity)
     in code points of the text. Repeated rows are scanned each on its own.
     """
-    small_batches(docs.sparkSession)
+    ship_package(docs.sparkSession)
 
     def run(batches):
         search = searcher(notices, error_rate)
@@ -164,7 +163,7 @@ def scan(docs: DataFrame, notices=NOTICES, error_rate: float = ERROR_RATE) -> Da
                 "score": [float(r[6]) for r in rows],
                 "spans": [[{"start": a, "end": b, "label": x, "similarity": s} for a, b, x, s in r[7]] for r in rows]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, (
+    return with_key(docs.select("doc_id", "text"), "doc_id", run, (
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
         "score double, spans array<struct<start:long,end:long,label:string,similarity:double>>"))
 

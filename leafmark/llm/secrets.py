@@ -2,7 +2,7 @@
 
 A small lexer reads source and configuration syntax into (name, literal) pairs: ``name = "v"``,
 ``name: v``, ``"name": "v"``, ``export NAME=v``, ``<name>v</name>``. Names bound to literals are
-constants; a later use of the name, alone or in a ``+`` chain, takes their value, and so do ``$NAME``
+constants until they are set again; a use of the name, alone or in a ``+`` chain, takes their value, and so do ``$NAME``
 and ``${NAME}``, which also take bare literals. Where a sensitive target takes a constant's value, the
 use and the literals at their definitions are reported. A literal's score grows with how sensitive the
 target's name is and with how random the literal looks.
@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table
+from .common import ship_package, table, with_key
 
 # The base patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -39,9 +39,11 @@ _STEMS = tuple(w for w in SENSITIVE if not any(v != w and v in w for v in SENSIT
 _ASSIGN_STEMS = ("password", "passwd", "secret", "token", "api")
 
 _LEX = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,80})(?P=q)[ \t]*(?P<op>:=|=>|[:=])(?![=:/])[ \t]*"""
+    # a name starts where its run of characters does, so that long runs are read once
+    r"""(?P<q>["']?)(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?P=q)"""
+    r"""(?:[ \t]*:[ \t]*[A-Za-z_][A-Za-z0-9_.\[\]]*+(?=[ \t]*=[^=]))?[ \t]*(?P<op>:=|=>|[:=])(?![=:/])[ \t]*"""
     r"""(?P<rhs>(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|(?:\$\{[A-Za-z_][A-Za-z0-9_]*\}|[A-Za-z0-9+/_.\-=$@!%^&*#~?])+)"""
-    r"""(?:[ \t]*\+[ \t]*(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[A-Za-z_][A-Za-z0-9_.]*))*)"""
+    r"""(?:[ \t]*\+[ \t]*(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[A-Za-z_][A-Za-z0-9_.]*))*)?"""
     r"""|<(?P<xname>[A-Za-z_][A-Za-z0-9_.\-]*)>(?P<xval>[^<>\n]+)</(?P=xname)>"""
 )
 _PART = re.compile(r""""(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[^\s+"']+""")
@@ -76,6 +78,10 @@ def lex_pairs(text: str) -> Iterator[tuple[str, str, int, int, bool, tuple[tuple
         if m["xname"]:
             yield m["xname"], m["xval"].strip(), m.start("xval"), m.end("xval"), False, ()
             continue
+        if m["rhs"] is None:  # set to an expression that is not read
+            known.pop(m["name"], None)
+            latest.pop(m["name"], None)
+            continue
         name, at, value, through, sources, own = m["name"], m.start("rhs"), [], False, [], []
         quoted = bare = used = 0
 
@@ -108,12 +114,15 @@ def lex_pairs(text: str) -> Iterator[tuple[str, str, int, int, bool, tuple[tuple
                     bare += 1
                 own.append((at + p.start(), at + p.end()))
         literal = "".join(value)
+        known.pop(name, None)
+        latest.pop(name, None)
         if quoted or through or bare == 1:
             # a long chain of constants repeats its literals
             held = (literal, tuple(dict.fromkeys([*sources, *own] if not through or quoted or bare else sources)))
-            if not bare and not used:
+            called = text[m.end("rhs"):m.end("rhs") + 1] in ("(", "[")
+            if not bare and not used and not called:
                 known[name] = held
-            if not bare or (bare == 1 and not quoted):
+            if (not bare or (bare == 1 and not quoted)) and not called:
                 latest[name] = held
             start, end = at, m.end("rhs")
             if quoted == 1 and not through and not bare:
@@ -154,7 +163,7 @@ def scan(docs: DataFrame) -> DataFrame:
     docs needs doc_id and text; other columns are ignored. Null and empty texts have no spans
     (spans is the empty string). Repeated rows are scanned each on its own.
     """
-    small_batches(docs.sparkSession)
+    ship_package(docs.sparkSession)
 
     def run(batches):
         for pdf in batches:
@@ -167,7 +176,7 @@ def scan(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_assign": cols[0], "n_access": cols[1], "n_hex": cols[2], "base_sha256": cols[3], "spans": cols[4]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return with_key(docs.select("doc_id", "text"), "doc_id", run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
@@ -175,7 +184,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Spans that touch or overlap are replaced together. n_chars, where there, follows the new text.
     """
-    small_batches(docs.sparkSession)
+    ship_package(docs.sparkSession)
 
     def clean(text):
         if text is None:
