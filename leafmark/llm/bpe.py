@@ -13,13 +13,14 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import CHUNK_SCHEMA, by_bucket, chunker, dec, dec_bytes, enc, enc_bytes, spread
-from .common import small_batches, stored_by, table
+from .common import MOST_PARTS, ship_package, stored_by, table
 
 #: A vocabulary file may not be larger than this when it goes to every executor.
 MOST_RANKS = 2_000_000
@@ -54,10 +55,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 8_
     rows are encoded each. Texts are whole: lone surrogates cannot occur in Spark's UTF-8 strings.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    ship_package(spark)
     raw = spark.sparkContext.broadcast(read_ranks(ranks_path))
     split = chunker(lambda t: _finder(pattern)(t), _pack_words, chunk_chars)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).alias("mark"), F.lit(0).alias("part"))
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", F.lit(0).alias("mark"), F.lit(0).alias("part"))
     chunks = stored_by(spark, rows.mapInPandas(split, CHUNK_SCHEMA), "bpe-chunks", "chunk", rows.rdd.getNumPartitions())
     total = chunks.agg(F.sum("n_keys")).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_words))
@@ -105,13 +106,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 8_
         tokens = flat[spread(starts[ids], n)].astype("<u4")
         ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(dec(row["lens"]).astype(np.int64))])]
         return pd.DataFrame({
-            "doc_id": pd.array(list(row["doc_ids"]), "Int64"), "n_tokens": np.diff(ends),
+            "doc_id": list(row["doc_ids"]), "n_tokens": np.diff(ends),
             "ids": [tokens[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]})
 
-    replies = chunks.select("chunk", "vocab").mapInPandas(ask, "bucket int, chunk long, words binary").groupBy("bucket").applyInPandas(
+    asked = chunks.select("chunk", "vocab").mapInPandas(ask, "bucket int, chunk long, words binary").repartition(min(n_buckets, MOST_PARTS), "bucket")
+    replies = asked.groupBy("bucket").applyInPandas(
         answer, "chunk long, bucket int, lens binary, flat binary")
     return chunks.select("chunk", "doc_ids", "lens", "ids", "vocab").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(
-        put, "doc_id long, n_tokens long, ids binary")
+        put, "doc_id string, n_tokens long, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 _FINDERS: dict = {}
@@ -124,9 +126,13 @@ def _finder(pattern: str):
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """encoded (with ids as encode() gives them) plus bytes: the ids' bytes, joined. Null ids give null."""
+    """encoded (with ids as encode() gives them) plus bytes: the ids' bytes, joined. Null ids give null.
+
+    The ids of a batch meet the token-byte table, which is as large as the vocabulary and goes to every executor, in one
+    join by position; the bytes come back in order and are cut where documents end.
+    """
     spark = encoded.sparkSession
-    small_batches(spark)
+    ship_package(spark)
     raw = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches):
@@ -134,12 +140,19 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         by_id = [b""] * (max(ranks.values(), default=-1) + 1)
         for b, i in ranks.items():
             by_id[i] = b
-        for pdf in batches:
-            pdf["bytes"] = [None if x is None else b"".join(map(by_id.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in pdf["ids"]]
-            yield pdf
+        table_ = pa.array(by_id, pa.large_binary())
+        size = np.fromiter(map(len, by_id), np.int64, len(by_id))
+        for batch in batches:
+            held = batch.column("ids").to_pylist()
+            ids = np.frombuffer(b"".join(x or b"" for x in held), "<u4").astype(np.int64)
+            data = table_.take(pa.array(ids)).buffers()[2]
+            ends = np.concatenate([[0], np.cumsum(size[ids])])[np.cumsum([0, *(len(x or b"") // 4 for x in held)])].tolist()
+            view = memoryview(data if data is not None else b"")
+            out = [None if x is None else bytes(view[a:b]) for x, a, b in zip(held, ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "bytes"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInPandas(run, f"{schema}, bytes binary")
+    return encoded.mapInArrow(run, f"{schema}, bytes binary")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import zstandard
 
-CHUNK_SCHEMA = "chunk long, part int, n_tokens long, n_keys long, doc_ids array<bigint>, lens binary, marks binary, ids binary, vocab binary"
+CHUNK_SCHEMA = "chunk long, part int, n_tokens long, n_keys long, doc_ids array<string>, lens binary, marks binary, ids binary, vocab binary"
 
 
 def enc(a: np.ndarray) -> bytes:
@@ -74,7 +74,7 @@ class _Open:
 
 
 def chunker(tokens_of: Callable[[str], list], pack_vocab: Callable[[list], bytes], chunk_chars: int, ):
-    """For mapInPandas over (doc_id, text, mark, part): rows of CHUNK_SCHEMA. Documents of different
+    """For mapInPandas over (doc_id as text, text, mark, part): rows of CHUNK_SCHEMA. Documents of different
     parts never share a chunk. A text longer than chunk_chars is a chunk of its own, whole."""
     def run(batches: Iterable[pd.DataFrame]):
         open_: dict[int, _Open] = {}
@@ -83,7 +83,7 @@ def chunker(tokens_of: Callable[[str], list], pack_vocab: Callable[[list], bytes
                 c = open_.setdefault(part, _Open())
                 toks = tokens_of(text or "")
                 c.ids.append(np.fromiter(map(c.vocab.__getitem__, toks), np.int32, len(toks)))
-                c.docs.append(None if pd.isna(doc_id) else int(doc_id))
+                c.docs.append(doc_id)
                 c.marks.append(int(mark))
                 c.size += len(text or "") + 16
                 if c.size >= chunk_chars:

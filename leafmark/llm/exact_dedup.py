@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small_batches, stored, table
+from .common import ascii_lower, ship_package, stored, table
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -167,7 +167,7 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, bucket_keys:
     and where a group has no id at all keep_id is null and all stay.
     """
     spark: SparkSession = docs.sparkSession
-    small_batches(spark, 10_000)
+    ship_package(spark)
     if in_snapshot is None:
         in_snapshot = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(4)) != 0
     rows, _ = stored(spark, digests(docs, in_snapshot), "digests")
@@ -203,9 +203,19 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, bucket_keys:
 
 
 def keep_first(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The documents that exact_dedup() keeps, with their own columns; a row that is there twice stays once."""
-    ids = verdict.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The documents that exact_dedup() keeps, with their own columns; a row that is there twice stays once.
+
+    Rows meet their verdict by id and digest; only rows whose id and digest repeat are dealt again to drop repeats.
+    """
+    told, _ = stored(docs.sparkSession, verdict.where("kept").groupBy(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).agg(
+        F.count(F.lit(1)).alias("kept_n")), "kept")
+    sha = F.sha2(ascii_lower(docs["text"]).cast("binary"), 256)
+    of = lambda ids: docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]) & (sha == ids["kept_sha"]), "left_semi")
+    once = of(told.where("kept_n = 1"))
+    if not told.where("kept_n > 1").limit(1).count():
+        return once
+    again = of(told.where("kept_n > 1")).withColumn("text_sha256_", F.sha2(ascii_lower(F.col("text")).cast("binary"), 256))
+    return once.unionByName(again.dropDuplicates(["doc_id", "text_sha256_"]).drop("text_sha256_"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

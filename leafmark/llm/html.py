@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import ship_package, stored, table, with_key
 
 # Tags by their part in a page.
 BLOCKS = frozenset((
@@ -27,11 +27,17 @@ SKIP = frozenset("script style template noscript textarea select iframe svg math
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption section article main".split())
 CONTAINERS = frozenset("article main section div td body".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog head".split())
+#: A header is the page's own unless one of these holds it: then it has the article's headline.
+HEADED = frozenset("article main".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 BOILER_WORDS = frozenset((
     "nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement adbox promo promotion sponsor sponsored "
     "banner cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login share sharing social related "
     "recommended comment comments respond replies discussion disqus breadcrumb breadcrumbs pagination pager widget toolbar").split())
+#: In a class of several words, those after which a word says what else is there, and those that make a header the article's.
+LINKING = frozenset("with has no without and is in".split())
+STORY = frozenset("article post story entry content page".split())
+READERS = frozenset("comment comments respond replies discussion disqus related recommended".split())
 #: Opening one of these ends an open element of the second group, if no element of the third stands between.
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
            "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
@@ -54,7 +60,7 @@ class Page:
         self._read(html or "")
 
     def _read(self, html: str) -> None:
-        stack = [0]
+        stack, hard, soft = [0], [False], [None]  # boilerplate by tag, role or attribute; the words of a class that say so
         nodes, parts, at = self.nodes, [], 0
         links, in_link, size = 0, 0, len(html)
 
@@ -117,16 +123,31 @@ class Page:
                     del stack[1:]
                 if name in VOID:
                     continue
-                token, boiler = self._token(name, m[3])
-                nodes.append((stack[-1], name, token, boiler or nodes[stack[-1]][3]))
+                token, boiler, by_word = self._token(name, m[3])
+                if name == "header" and not any(nodes[k][1] in HEADED for k in stack):
+                    boiler = True
+                if name in HEADED and not boiler:
+                    self._clear(stack, hard, soft, name)
+                hard.append(boiler)
+                soft.append(by_word)
+                nodes.append((stack[-1], name, token, boiler or bool(by_word) or nodes[stack[-1]][3]))
                 stack.append(len(nodes) - 1)
         flush()
 
+    def _clear(self, stack: list[int], hard: list[bool], soft: list, name: str) -> None:
+        """What holds the article and is boilerplate by the words of its class alone is not."""
+        held = [k for k in stack if self.nodes[k][3]]
+        if any(hard[k] for k in held) or (name != "main" and any(soft[k] and soft[k] & READERS for k in held)):
+            return
+        for k in held:
+            self.nodes[k] = (*self.nodes[k][:3], False)
+
     @staticmethod
-    def _token(name: str, attrs: str) -> tuple[str, bool]:
-        boiler = name in BOILER_TAGS
+    def _token(name: str, attrs: str) -> tuple[str, bool, frozenset | None]:
+        """(token, boilerplate by tag, role or attribute, the words of its classes and id that name boilerplate)."""
+        boiler, told = name in BOILER_TAGS, set()
         if not attrs:
-            return name, boiler
+            return name, boiler, None
         classes: list[str] = []
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -137,8 +158,12 @@ class Page:
             elif key == "hidden":
                 boiler = boiler or not value
             elif name not in ("body", "html", "article", "main"):
-                boiler = boiler or not BOILER_WORDS.isdisjoint(_SPLIT.split(value))
-        return ".".join([name, *classes]), boiler
+                for c in value.split():
+                    words = _SPLIT.split(c)
+                    cut = next((i for i, w in enumerate(words) if w in LINKING), len(words))
+                    found = BOILER_WORDS.intersection(words[:cut])
+                    told |= found - {"header"} if found and not STORY.isdisjoint(words) else found
+        return ".".join([name, *classes]), boiler, frozenset(told) or None
 
     def path(self, node: int) -> str:
         out = []
@@ -216,9 +241,10 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def vote(pages: DataFrame, least_share: float = 0.1, most_paths: int = 8) -> DataFrame:
-    """(host, paths): each host's winning container paths, most voted first. Votes are summed before they move,
-    so a host that holds a third of all pages is a few rows from each task."""
+def vote(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
+    """(host, paths): each host's winning container paths, most voted first: those with least_share of its votes, which
+    are 1 / least_share at most. Votes are summed before they move, so a host that holds a third of all pages is a few
+    rows from each task; a page that has none of the paths is extracted by its own best container."""
     def run(batches):
         for pdf in batches:
             rows = []
@@ -230,8 +256,22 @@ def vote(pages: DataFrame, least_share: float = 0.1, most_paths: int = 8) -> Dat
             yield pd.DataFrame(rows, columns=["host", "path", "score"])
     votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, path string, score double")
     counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"))
-    ranked = counted.groupBy("host").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("n", "s", "path")), False).alias("all"))
-    return ranked.select("host", F.transform(F.slice(F.filter("all", lambda x: x["n"] >= F.col("total") * least_share), 1, most_paths), lambda x: x["path"]).alias("paths"))
+    counted, _ = stored(pages.sparkSession, counted, "host-votes")
+    totals = counted.groupBy("host").agg(F.sum("n").alias("total"))
+    won = counted.join(totals, "host").where(F.col("n") >= F.col("total") * least_share)
+    return won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("n", "s", "path")), False).alias("all")).select(
+        "host", F.transform("all", lambda x: x["path"]).alias("paths"))
+
+
+#: Hosts whose paths are broadcast; with more of them pages meet their host's paths in a shuffle, a host's pages dealt over SALTS.
+BROADCAST_HOSTS, SALTS = 200_000, 16
+
+
+def _with_paths(pages: DataFrame, winners: DataFrame) -> DataFrame:
+    if winners.count() <= BROADCAST_HOSTS:
+        return pages.join(F.broadcast(winners), "host", "left")
+    dealt = winners.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("salt_", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(dealt, ["host", "salt_"], "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -242,15 +282,15 @@ def extract(pages: DataFrame) -> DataFrame:
     and joined by line breaks. Repeated rows are extracted each; an empty table gives no rows.
     """
     spark = pages.sparkSession
-    small_batches(spark)
+    ship_package(spark)
     winners, _ = stored(spark, vote(pages), "host-paths")
 
     def run(batches):
         for pdf in batches:
             text = [Page(h).extract(p) for h, p in zip(pdf["html"], pdf["paths"], strict=True)]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
-    joined = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(winners, "host", "left")
-    return joined.select("page_id", "url", "html", "paths").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    joined = _with_paths(pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")), winners)
+    return with_key(joined.select("page_id", "url", "html", "paths"), "page_id", run, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ c(v), the context's frequency (powers of two). The mixture weights of each bucke
 expectation-maximisation on a deleted block: a tenth of the training documents, whose own counts
 are taken off the totals before their tokens are used.
 
-Counts are exact and cover all training tokens. They are exchanged between chunks of texts and
+Counts cover all training tokens (words and pairs are told apart by 64-bit hashes). They are exchanged between chunks of texts and
 buckets of the key space as packed arrays (see chunks.py). The EM step sees the block's tokens as
 a histogram of (bucket, bigram probability, unigram probability) on a fixed log grid: every token
 counts, and what reaches the driver has a bounded number of cells.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import CHUNK_SCHEMA, by_bucket, chunker, dec, enc
-from .common import crc_mod5, small_batches, stored, stored_by, table
+from .common import MOST_PARTS, crc_mod5, ship_package, stored, stored_by, table
 
 #: A space and a line break cannot be words, so they stand for the end and for the start.
 END, START = b" ", b"\n"
@@ -164,16 +164,18 @@ def score(docs: DataFrame, held_out, chunk_chars: int = 8_000_000, bucket_keys:
     are unknown and the fallback weights hold.
     """
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
+    ship_package(spark)
     held = F.coalesce(held_out, F.lit(False))
     in_block = ~held & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("deleted block")), F.lit(10)) == 0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held).cast("int").alias("mark"), in_block.cast("int").alias("part"))
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", (~held).cast("int").alias("mark"), in_block.cast("int").alias("part"))
     chunks = stored_by(spark, rows.mapInPandas(chunker(_tokens, _word_keys, chunk_chars), CHUNK_SCHEMA), "lm-chunks", "chunk", rows.rdd.getNumPartitions())
     sums = chunks.agg(F.sum("n_keys"), F.sum("n_tokens")).first()
     n_buckets = (max(1, -(-(sums[0] or 0) // bucket_keys)), max(1, -(-(sums[1] or 0) // bucket_keys)))
     asked = chunks.select("chunk", "part", "lens", "marks", "ids", "vocab").mapInPandas(
         _ask(n_buckets), "kind int, bucket int, chunk long, part int, keys binary, counts binary")
-    answers, _ = stored(spark, asked.groupBy("kind", "bucket").applyInPandas(_answer, _ANSWER_SCHEMA), "lm-answers", "uncompressed")
+    # as many partitions as buckets: what a task reads does not grow with the input
+    dealt = asked.repartition(min(sum(n_buckets), MOST_PARTS), "kind", "bucket")
+    answers, _ = stored(spark, dealt.groupBy("kind", "bucket").applyInPandas(_answer, _ANSWER_SCHEMA), "lm-answers", "uncompressed")
     facts = {r["kind"]: r for r in answers.where("chunk < 0").groupBy("kind").agg(F.sum("n_distinct").alias("v"), F.sum("mass").alias("n")).collect()}
     total, vocab = (int(facts[1]["n"]), int(facts[1]["v"])) if 1 in facts else (0, 0)
     own = _documents(chunks)
@@ -212,12 +214,13 @@ def score(docs: DataFrame, held_out, chunk_chars: int = 8_000_000, bucket_keys:
         lp = np.log10(mix[:, 0] * p2 + mix[:, 1] * p1 + mix[:, 2] * floor)
         seen = w[c.ids]
         return pd.DataFrame({
-            "doc_id": pd.array(list(left["doc_ids"].iloc[0]), "Int64"), "held_out": ~c.train, "n_tokens": c.lens,
+            "doc_id": list(left["doc_ids"].iloc[0]), "held_out": ~c.train, "n_tokens": c.lens,
             "n_known": np.add.reduceat((seen > 0).astype(np.int64), c.first), "train_tokens": total,
             "base_score": np.add.reduceat(np.log10(seen + 0.5), c.first) - c.lens * base_floor,
             "score": np.add.reduceat(lp, c.first)})
 
-    return paired("part >= 0", scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return paired("part >= 0", scored, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumn(
+        "doc_id", F.col("doc_id").cast("long"))
 
 
 def _documents(chunks: DataFrame) -> dict[str, int]:

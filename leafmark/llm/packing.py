@@ -7,7 +7,7 @@ or least cost outright; each group of items is packed once for every permitted l
 either meaning, and the cheapest of those plans stays, so the lengths are optimised jointly.
 
 Only (row key, length) moves: rows are dealt into even groups of about ``group_items`` by a hash,
-so a group is bounded whatever the input, and the loss is at most a partly filled bin or two
+so a group is bounded whatever the input and however often a key repeats, and the loss is at most a partly filled bin or two
 for each group. Texts stay where they are.
 """
 
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship_package, table
+from .common import ship_package, stored, table
 
 #: Permitted sequence lengths in tokens, and the fixed cost of a sequence besides its length.
 SIZES = (512, 1024, 2048, 4096, 8192)
@@ -80,20 +80,23 @@ def pack(items: DataFrame, key: str, length: str, sizes=SIZES, overhead: float =
 
     An item longer than the largest size is cut into pieces of that size and a rest; start is
     where a piece begins in its item. Items of null or less than one token count as one token.
-    Repeated keys are separate items. An empty table gives no rows.
+    Repeated and null keys are separate items. An empty table gives no rows.
     """
     ship_package(items.sparkSession)
     cost, largest = costs(sizes, overhead), max(sizes)
-    rows = items.select(F.col(key).cast("long").alias("key"), F.greatest(F.coalesce(F.col(length), F.lit(1)), F.lit(1)).cast("long").alias("len"))
-    n = rows.count()
+    # numbered rows, written once: a group is a hash of the row's number, which null and repeated keys cannot make uneven;
+    # keys go through Python as text, since pandas would make floating point of a batch that holds a null
+    rows, _ = stored(items.sparkSession, items.select(F.col(key).cast("long").cast("string").alias("key"), F.monotonically_increasing_id().alias("row"), F.greatest(
+        F.coalesce(F.col(length), F.lit(1)), F.lit(1)).cast("long").alias("len")), "pack-rows")
+    n = rows.agg(F.sum(F.floor((F.col("len") - 1) / largest) + 1)).first()[0] or 0
     groups = max(1, -(-n // group_items))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("len") - 1) / largest).cast("int")))).select(
-        "key", "piece", (F.col("piece").cast("long") * largest).alias("start"),
+        "key", "row", "piece", (F.col("piece").cast("long") * largest).alias("start"),
         F.least(F.col("len") - F.col("piece").cast("long") * largest, F.lit(largest)).cast("int").alias("n_tokens"))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("key", "piece"), F.lit(groups)).cast("long"))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)).cast("long"))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "key", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["n_tokens", "row", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         bins, offsets, final, _ = best_fit(pdf["n_tokens"].tolist(), cost)
         size = np.asarray(final, np.int32)
         grp = int(pdf["grp"].iloc[0])
@@ -103,8 +106,8 @@ def pack(items: DataFrame, key: str, length: str, sizes=SIZES, overhead: float =
             "bin_offset": np.asarray(offsets, np.int32)})
 
     out = dealt.groupBy("grp").applyInPandas(
-        place, "key long, piece int, start long, n_tokens int, bin_id long, bin_size int, bin_offset int")
-    return out.withColumnRenamed("key", key)
+        place, "key string, piece int, start long, n_tokens int, bin_id long, bin_size int, bin_offset int")
+    return out.withColumn("key", F.col("key").cast("long")).withColumnRenamed("key", key)
 
 
 def pack_documents(docs: DataFrame, **how) -> DataFrame:

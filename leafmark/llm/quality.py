@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod5, small_batches, table
+from .common import crc_mod5, ship_package, table, with_key
 
 FIT_ROWS = 6_000  # most rows of each kind (positives, unlabelled) that a model is fitted on
 CLASSES = 12
@@ -154,11 +154,11 @@ def _hash_sample(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _fit_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the documents of ids, a sample of bounded size."""
+    """Features of the documents of ids, a sample of bounded size. Of rows that share a doc_id, the smallest text counts."""
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [features(t) for t in pdf["text"]]})
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).mapInPandas(run, "doc_id long, x array<double>").toPandas()
+    got = with_key(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "doc_id", run, "doc_id long, x array<double>").toPandas()
     got = got.sort_values("doc_id", kind="stable").sample(frac=1, random_state=0)  # one order, whatever the partitions
     return np.stack(list(got["x"])) if len(got) else np.empty((0, N_FEATURES))
 
@@ -170,7 +170,7 @@ def train(docs: DataFrame, positives: DataFrame, fit_rows: int = FIT_ROWS) -> Sc
     samples that are broadcast and collected are bounded. With no positives or no documents the model gives
     one half to every text.
     """
-    small_batches(docs.sparkSession)
+    ship_package(docs.sparkSession)
     xp = _fit_features(docs, _hash_sample(positives.select("doc_id").distinct(), fit_rows))
     xu = _fit_features(docs, _hash_sample(docs.select("doc_id").distinct(), fit_rows))
     if not len(xp) or not len(xu):
@@ -180,18 +180,18 @@ def train(docs: DataFrame, positives: DataFrame, fit_rows: int = FIT_ROWS) -> Sc
 
 def score(docs: DataFrame, model: Scaled) -> DataFrame:
     """(doc_id, score double): one row per document; null and empty texts are scored as empty."""
-    small_batches(docs.sparkSession)
+    ship_package(docs.sparkSession)
 
     def run(batches):
         for pdf in batches:
             x = np.stack([features(t) for t in pdf["text"]]) if len(pdf) else np.empty((0, N_FEATURES))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.score(x)})
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return with_key(docs.select("doc_id", "text"), "doc_id", run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Scaled, threshold: float = 0.3) -> DataFrame:
     """The documents whose score reaches threshold, with all of their columns as they are."""
-    small_batches(docs.sparkSession)
+    ship_package(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
