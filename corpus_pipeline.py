@@ -7,14 +7,15 @@ but the last return the columns of documents, and each works on what the one bef
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafmark.llm import exact_dedup, minhash, packing, quality, secrets
-from leafmark.llm.common import stored, table
+from leafmark.llm.common import crc_mod5, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.3 or more; it learns from the labels table's training folds."""
-    model = quality.train(docs, quality.trusted(table(spark, sf_dir, "labels")))
+    model = quality.train(docs.where(crc_mod5(F.col("doc_id")) != 0), quality.trusted(table(spark, sf_dir, "labels")))
     return quality.keep_good(docs, model)
 
 
