@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
@@ -478,11 +479,87 @@ def chrome_split(spark, sf_dir):
     return layout.split_chrome(_boxes(spark, sf_dir)).select("page", "ord", "part", "page_no")
 
 
-@query()
+_LONG = "这是一个很长的标签文字超过十六个字"
+# Pages of three kinds: text with headings, tables, figures. A page's lines are its order's items.
+_LINES = rf"""li AS (SELECT l_orderkey AS page, l_partkey AS p, l_suppkey AS s, l_returnflag AS r, l_orderkey % 3 AS style,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS n FROM lineitem),
+ln0 AS (SELECT page, n, style, p, (CASE WHEN style = 2 THEN 100 + 100 * n + s % 20 ELSE 100 + 40 * n END)::DOUBLE AS y0,
+  CASE WHEN style = 0 AND p % 7 = 0 THEN 'head' WHEN style = 0 THEN 'text' WHEN style = 1 THEN 'cells' WHEN p % 4 = 0 THEN 'caption' WHEN p % 4 = 1 THEN 'label' WHEN p % 4 = 2 THEN 'long' ELSE 'body' END AS kind, r, s FROM li),
+ln AS (SELECT page, n, style, p, y0, y0 + 30 AS y1, kind, CASE WHEN kind = 'cells' THEN CASE WHEN p % 11 = 0 THEN 2 ELSE 3 END ELSE 1 END AS nb,
+  (CASE kind WHEN 'head' THEN 150 WHEN 'text' THEN 150 + p % 2 * 60 WHEN 'cells' THEN 200 + s % 10 WHEN 'caption' THEN 560 WHEN 'label' THEN 500 WHEN 'long' THEN 500 ELSE 150 END)::DOUBLE AS x0,
+  (CASE kind WHEN 'head' THEN 400 WHEN 'text' THEN 1300 - s % 2 * 300 WHEN 'cells' THEN CASE WHEN p % 11 = 0 THEN 620 ELSE 920 END + s % 10 WHEN 'caption' THEN 880 WHEN 'label' THEN 560 WHEN 'long' THEN 600 ELSE 1300 END)::DOUBLE AS x1,
+  CASE kind WHEN 'head' THEN '1.' || (n + 1) || 'Topic' WHEN 'text' THEN r || ' text ' || p WHEN 'cells' THEN 'c' || p || 'a c' || p || 'b' || CASE WHEN p % 11 = 0 THEN '' ELSE ' c' || p || 'c' END
+    WHEN 'caption' THEN '图1-' || p WHEN 'label' THEN 'ab' WHEN 'long' THEN '{_LONG}' ELSE 'body ' || p END AS text FROM ln0),
+ext AS (SELECT page, max(x1) AS right_, min(x0) AS left_ FROM ln GROUP BY 1),
+base AS (SELECT ln.page, coalesce(min(x0) FILTER (x1 - x0 >= right_ * 0.5), min(x0)) AS base, any_value(right_) AS right_, any_value(left_) AS left_ FROM ln JOIN ext USING (page) GROUP BY 1),
+cap AS (SELECT c.page, c.n, c.y0, c.text, (SELECT max(b.n) FROM ln b JOIN base m USING (page) WHERE b.page = c.page AND b.n < c.n AND b.x1 > 1450 * 0.85 AND b.x0 < m.base + 1450 * 0.05) AS j0 FROM ln c WHERE kind = 'caption'),
+stop_ AS (SELECT c.page, c.n, (SELECT min(b.n) FROM ln b JOIN base m USING (page) WHERE b.page = c.page AND b.n > c.j0 AND b.x0 >= m.base + 1450 * 0.05) AS e FROM cap c),
+tops AS (SELECT c.page, c.n, c.y0, c.text, CASE WHEN j0 IS NULL THEN (SELECT min(y0) FROM ln b WHERE b.page = c.page) ELSE (SELECT b.y1 FROM ln b WHERE b.page = c.page AND b.n = least(coalesce(s.e, c.n), c.n) - 1) END AS t,
+  lag(c.y0) OVER (PARTITION BY c.page ORDER BY c.n) AS floor_ FROM cap c JOIN stop_ s ON s.page = c.page AND s.n = c.n),
+fig AS (SELECT page, n, greatest(t, coalesce(floor_, t)) AS y0, y0 AS y1, text AS caption FROM tops WHERE y0 - greatest(t, coalesce(floor_, t)) >= 70),
+lab AS (SELECT ln.*, CASE WHEN kind IN ('label', 'long') AND x0 - left_ > 1450 * 0.07 AND kind = 'label' THEN 1
+  WHEN kind IN ('label', 'long') AND EXISTS (SELECT 1 FROM fig WHERE fig.page = ln.page AND fig.y0 - 4 <= ln.y0 + 15 AND ln.y0 + 15 <= fig.y1) THEN 2 ELSE 0 END AS label FROM ln JOIN base USING (page)),
+kept AS (SELECT * FROM lab WHERE label = 0),
+tab AS (SELECT page, count(*) >= 3 AS is_table, max(nb) AS cols FROM kept WHERE style = 1 GROUP BY 1),
+free AS (SELECT k.* FROM kept k LEFT JOIN tab t ON t.page = k.page WHERE NOT coalesce(t.is_table, FALSE)),
+fext AS (SELECT page, max(x1) AS right_ FROM free GROUP BY 1),
+fbase AS (SELECT f.page, any_value(right_) AS right_, coalesce(min(x0) FILTER (x1 - x0 >= right_ * 0.5), min(x0)) AS base FROM free f JOIN fext USING (page) GROUP BY 1),
+seq AS (SELECT f.page, f.n, f.text, f.kind = 'head' AS head, f.x0, m.base, m.right_, lag(f.x0) OVER w AS px0, lag(f.x1) OVER w AS px1, lag(f.kind = 'head') OVER w AS phead FROM free f JOIN fbase m USING (page) WINDOW w AS (PARTITION BY f.page ORDER BY f.n)),
+starts AS (SELECT *, head OR phead IS NULL OR phead OR (x0 - base > 40 AND (x0 - px0 > 40 OR px1 <= right_ - 1450 * 0.06)) AS fresh FROM seq),
+blk AS (SELECT page, b, CASE WHEN bool_or(head) THEN '## ' ELSE '' END || string_agg(text, '' ORDER BY n) AS t FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY page ORDER BY n) AS b FROM starts) GROUP BY 1, 2),
+cell AS (SELECT k.page, k.n, '| c' || p || 'a | c' || p || 'b' || CASE WHEN t.cols = 3 THEN ' | ' || CASE WHEN p % 11 = 0 THEN '' ELSE 'c' || p || 'c' END ELSE '' END || ' |' AS row_, t.cols,
+  row_number() OVER (PARTITION BY k.page ORDER BY k.n) AS i FROM kept k JOIN tab t ON t.page = k.page AND t.is_table),
+md AS (SELECT page, string_agg(t, chr(10) || chr(10) ORDER BY b) AS markdown, count(*) AS n_paras, 0 AS n_tables FROM blk GROUP BY 1
+  UNION ALL SELECT page, string_agg(row_ || CASE WHEN i = 1 THEN chr(10) || CASE WHEN cols = 3 THEN '| --- | --- | --- |' ELSE '| --- | --- |' END ELSE '' END, chr(10) ORDER BY i), 1, 1 FROM cell GROUP BY 1)"""
+
+
+def _pages(spark, sf_dir):
+    """Boxes of those pages."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    p, s, style = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey") % 3
+    li = X.read(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(w) - 1)
+    word = lambda c: F.concat(F.lit("c"), p.cast("string"), F.lit(c))
+    box = lambda a, b, t: F.struct(F.lit(a).cast("double").alias("x0") if isinstance(a, int) else a.cast("double").alias("x0"), F.lit(b).cast("double").alias("x1") if isinstance(b, int) else b.cast("double").alias("x1"), t.alias("text"))
+    cells = F.array(*[box(F.lit(a) + s % 10, F.lit(a + 120) + s % 10, word(c)) for a, c in ((200, "a"), (500, "b"), (800, "c"))])
+    boxes = (F.when((style == 0) & (p % 7 == 0), F.array(box(150, 400, F.concat(F.lit("1."), (F.col("n") + 1).cast("string"), F.lit("Topic")))))
+             .when(style == 0, F.array(box(F.lit(150) + p % 2 * 60, F.lit(1300) - s % 2 * 300, F.concat("l_returnflag", F.lit(" text "), p.cast("string")))))
+             .when(style == 1, F.when(p % 11 == 0, F.slice(cells, 1, 2)).otherwise(cells))
+             .when(p % 4 == 0, F.array(box(560, 880, F.concat(F.lit("图1-"), p.cast("string")))))
+             .when(p % 4 == 1, F.array(box(500, 560, F.lit("ab")))).when(p % 4 == 2, F.array(box(500, 600, F.lit(_LONG))))
+             .otherwise(F.array(box(150, 1300, F.concat(F.lit("body "), p.cast("string"))))))
+    y0 = F.when(style == 2, F.lit(100) + F.col("n") * 100 + s % 20).otherwise(F.lit(100) + F.col("n") * 40).cast("double")
+    b = li.select(F.col("l_orderkey").cast("int").alias("page"), "n", y0.alias("y0"), F.posexplode(boxes).alias("k", "b"))
+    return b.select(F.lit("b").alias("book"), "page", F.lit(1450.0).alias("w"), F.lit(2000.0).alias("h"), (F.col("n") * 10 + F.col("k")).alias("ord"), "b.x0", "b.x1", "y0", (F.col("y0") + 30).alias("y1"), "b.text")
+
+
+@query(f"""WITH {_LINES} SELECT i.page, coalesce(markdown, '') AS markdown, i.n_boxes, coalesce(n_paras, 0) AS n_paras, coalesce(n_tables, 0) AS n_tables, coalesce(l.labels, '') AS labels
+FROM (SELECT page, sum(nb)::BIGINT AS n_boxes FROM ln GROUP BY 1) i LEFT JOIN md USING (page) LEFT JOIN (SELECT page, string_agg(text, '|' ORDER BY label, n) AS labels FROM lab WHERE label > 0 GROUP BY 1) l USING (page)""")
 def restored_pages(spark, sf_dir):
-    """Pages of boxes restored to Markdown (no SQL: greedy; checked on fixtures)."""
-    p = layout.restore_pages(_boxes(spark, sf_dir).withColumn("page", F.col("page").cast("int")))
-    return p.select("page", F.md5(F.encode("markdown", "UTF-8")).alias("markdown_md5"), "page_no", F.size("dropped").alias("n_dropped"), F.size("figure_text").alias("n_labels"), "n_boxes", "n_paras", "n_tables")
+    """Pages of boxes restored to Markdown: lines, labels, tables, paragraphs."""
+    return layout.restore_pages(_pages(spark, sf_dir)).select("page", "markdown", "n_boxes", "n_paras", "n_tables", F.array_join("figure_text", "|").alias("labels"))
+
+
+@query(f"WITH {_LINES} SELECT page, n AS line, caption, y0, y1 FROM fig")
+def figure_regions(spark, sf_dir):
+    """Regions of figures between body text and captions."""
+    s = layout.with_figures(layout.lines_of(_pages(spark, sf_dir)))
+    f = s.groupBy("book", "page").agg(F.first("figures").alias("fs")).select("page", F.explode("fs").alias("f"))
+    return f.select("page", "f.line", "f.caption", "f.y0", "f.y1")
+
+
+@query(f"WITH {_LINES} SELECT page, n AS line, label, text FROM lab")
+def figure_labels(spark, sf_dir):
+    """Lines that stay, and labels set off or inside figures."""
+    return layout.with_labels(layout.with_figures(layout.lines_of(_pages(spark, sf_dir)))).select("page", "line", "label", "text")
+
+
+@query(f"""WITH {_LINES} SELECT page, count(*) AS n_rows, any_value(cols) AS n_cols, string_agg(row_, chr(10) ORDER BY i) AS rows FROM cell GROUP BY 1""")
+def detected_tables(spark, sf_dir):
+    """Islands of lines that fill columns."""
+    lines = layout.with_labels(layout.with_figures(layout.lines_of(_pages(spark, sf_dir)))).where("label = 0")
+    _, t = layout.with_tables(lines.withColumn("n", F.row_number().over(Window.partitionBy("book", "page").orderBy("line"))))
+    row = F.transform("cells", lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |")))
+    return t.select("page", F.size("cells").alias("n_rows"), F.size(F.get("cells", F.lit(0))).alias("n_cols"), F.array_join(row, "\n").alias("rows"))
 
 
 def queries() -> dict:

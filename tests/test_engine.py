@@ -181,7 +181,8 @@ def test_layout(spark):
     assert r.page_no == 37 and r.dropped == ["边栏"] and sorted(r.figure_text) == ["报文", "首部"] and r.n_tables == 1
     assert r.markdown.split("\n\n")[:4] == ["# 第2章 物理层", "正文第一行从这里开始一直排到右页边第二行也排满到此结束。", "![图2-1数据通信系统](f/p1_1.png)", "图2-1数据通信系统"]
     assert "| c200700 | c500700 | c800700 |\n| --- | --- | --- |" in r.markdown
-    assert layout.insert_figure("a cap b", "cap", "u") == "a\n\n![cap](u)\n\ncap\n\nb"
+    ins = lambda md: spark.range(1).select(layout.insert_figure(F.lit(md), F.lit("cap"), F.lit("u")).alias("m")).first().m
+    assert ins("a cap b") == "a\n\n![cap](u)\n\ncap\n\nb" and ins("x\n\ncap\n\ny cap") == "x\n\n![cap](u)\n\ncap\n\ny cap" and ins("x") == "x\n\n![cap](u)\n\n"
 
 
 def test_documents(spark):
