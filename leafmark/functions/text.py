@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 class TokenProfile:
     """How text becomes terms: a pattern on lower-cased text, a least length, and words left out.
 
-    The default takes runs of letters and digits. CJK text needs a segmenter; without one a run of
-    CJK characters is one term (see functions.segment for maximum matching against a vocabulary).
+    The default takes runs of letters and digits. Without a vocabulary a run of CJK characters is one
+    term; with one, see functions.segment for the longest match.
     """
 
     pattern: str = r"[\p{L}\p{N}]+"
@@ -134,17 +134,18 @@ def escape_html(c: Column) -> Column:
     return c
 
 
-MARK_STYLE = "background-color:#5A8DD6;color:#ffffff"
-PAGE_STYLE = "background-color:#1D222B;color:#8A94A6;font-size:11px"
+#: Styles of marked words and page badges; callers may give their own.
+MARK_STYLE = "background:#ffe58a"
+PAGE_STYLE = "color:#777;font-size:80%"
 
 
-def highlight(c: Column, keys: Column) -> Column:
+def highlight(c: Column, keys: Column, style: str = MARK_STYLE) -> Column:
     """Escaped text with the keys (longer than one character, longest first, any case) in marks."""
     from pyspark.sql.functions import lit
 
     words = F.array_sort(F.filter(F.array_distinct(keys), lambda k: F.length(k) > 1), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
     quoted = F.transform(words, lambda k: F.regexp_replace(k, r"([\\\[\](){}.*+?^$|&])", r"\\$1"))
-    marked = F.regexp_replace(escape_html(c), F.concat(lit("(?i)("), F.array_join(quoted, "|"), lit(")")), lit(f'<span style="{MARK_STYLE}">$1</span>'))
+    marked = F.regexp_replace(escape_html(c), F.concat(lit("(?i)("), F.array_join(quoted, "|"), lit(")")), lit(f'<span style="{style}">$1</span>'))
     return F.when(F.size(words) > 0, marked).otherwise(escape_html(c))
 
 
@@ -154,14 +155,15 @@ def preview(c: Column, keys: Column, limit: int = 160) -> Column:
     return F.concat(F.replace(highlight(F.substring(c, 1, limit), keys), F.lit("\n"), F.lit(" ")), F.when(F.length(c) > limit, "…").otherwise(""))
 
 
-def page_badge(page: Column) -> Column:
-    return F.when(F.coalesce(page, F.lit(0)) != 0, F.concat(F.lit(f'<span style="{PAGE_STYLE}">&nbsp;P'), page.cast("string"), F.lit("&nbsp;</span>&nbsp;"))).otherwise("")
+def page_badge(page: Column, style: str = PAGE_STYLE) -> Column:
+    return F.when(F.coalesce(page, F.lit(0)) != 0, F.concat(F.lit(f'<span style="{style}">&nbsp;P'), page.cast("string"), F.lit("&nbsp;</span>&nbsp;"))).otherwise("")
 
 
 def table_rows(c: Column) -> Column:
     """Cells of a Markdown table, without separator rows: array<array<string>>."""
     rows = F.filter(F.transform(lines(c), strip), lambda r: r.startswith("|"))
-    cells = F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(r, r"^\|+|\|+$", ""), r"\|"), lambda x: strip(x)))
+    # a bar after a backslash is a cell's own
+    cells = F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(r, r"^\|+|(?<!\\)\|+$", ""), r"(?<!\\)\|"), lambda x: F.replace(strip(x), F.lit("\\|"), F.lit("|"))))
     return F.filter(cells, lambda cs: ~F.forall(cs, lambda x: x.rlike(r"^[-: ]*$")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.functions.text import TokenProfile, is_caption, numbers_in, tokens
+from leafmark.sources.tables import stored
 
 
 def section_blocks(items: DataFrame, targets: DataFrame, doc: str = "doc") -> DataFrame:
@@ -56,7 +57,7 @@ def outline(items: DataFrame, doc: str = "doc") -> DataFrame:
         F.count(F.lit(1)).alias("n_paths"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"]).alias("paths"))
 
 
-def top_concepts(texts: DataFrame, key: str, k: int = 12, profile: TokenProfile = TokenProfile(), stopwords: tuple[str, ...] = (), ranked: int | None = None) -> DataFrame:
+def top_concepts(texts: DataFrame, key: str, k: int = 12, profile: TokenProfile = TokenProfile(), stopwords: tuple[str, ...] = ()) -> DataFrame:
     """(key, rank, word, n): the k most frequent words of each key's texts, first seen first among equals, of 2 to 12
     characters with a letter; a word inside a longer ranked word falls.
 
@@ -68,6 +69,7 @@ def top_concepts(texts: DataFrame, key: str, k: int = 12, profile: TokenProfile
     if stopwords:
         t = t.where(~F.col("word").isin(*stopwords))
     freq = t.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "at")).alias("seen"))
+    freq, _ = stored(texts.sparkSession, freq, "word-counts")  # read twice below
     size = F.length("word")
     subs = F.flatten(F.transform(F.sequence(F.lit(2), F.greatest(size - 1, F.lit(2))), lambda n: F.transform(
         F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda a: F.substring(F.col("word"), a, n))))

@@ -12,16 +12,35 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmark.functions.segment import is_function_run
 from leafmark.functions.text import TokenProfile, tokens
+from leafmark.sources.tables import drop_stored, stored
 
 K1, B = 1.5, 0.75
 #: Scores are compared at this many digits, so that the order of summation cannot swap ties.
 DIGITS = 9
 
 
+@dataclass(frozen=True)
+class Ranking:
+    """How answers are ranked and cut: most sections and passages, digits that scores are compared at, and whether sections
+    alone are answer enough to keep passages to those with all known terms."""
+
+    sections: int = 5
+    passages: int = 5
+    digits: int = DIGITS
+    sections_suffice: bool = True
+
+
+#: The offline reader's: coarser scores, and passages relax whatever the sections say.
+READER = Ranking(6, 10, 3, False)
+#: Query terms up to so many are broadcast to the postings; with more of them postings of a term are dealt over SALTS.
+BROADCAST_TERMS, SALTS = 500_000, 16
+
+
 @dataclass
 class Index:
-    """tf (pos, term, tf), df (term, df, idf), dl (pos, dl), totals (n, avgdl), titles (pos, level, n_tokens, term)."""
+    """tf (pos, is_title, dl, term, tf), df (term, df, idf), dl (pos, dl), totals (n, avgdl), titles (pos, level, n_tokens, term)."""
 
     corpus: DataFrame
     tf: DataFrame
@@ -29,96 +48,133 @@ class Index:
     dl: DataFrame
     totals: DataFrame
     titles: DataFrame
-
-    def persist(self) -> Index:
-        for t in (self.tf, self.df, self.dl):
-            t.persist()
-        return self
-
-    def refresh(self) -> None:
-        for t in (self.tf, self.df, self.dl):
-            t.unpersist()
-
-
-def build_index(corpus: DataFrame, profile: TokenProfile = TokenProfile()) -> Index:
-    """Documents without terms stay in the count and in the average length."""
-    toks = corpus.select("pos", "is_title", "level", tokens(F.col("text"), profile).alias("toks"))
+    paths: tuple[str, ...] = ()
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that a search reads several times: written once, where the index is."""
+        if not self.paths:
+            return df
+        out, path = stored(df.sparkSession, df, name)
+        self.paths += (path,)
+        return out
+
+    def drop(self) -> None:
+        """Delete the index's tables."""
+        if self.paths:
+            drop_stored(self.corpus.sparkSession, *self.paths)
+            self.paths = ()
+
+
+def build_index(corpus: DataFrame, profile: TokenProfile = TokenProfile(), store: bool = False) -> Index:
+    """Documents without terms stay in the count and in the average length. A column `terms`, where the corpus has one, is
+    taken for the terms of its text. With store, terms, postings and document frequencies are written once to the shared
+    folder, for all searches to read; drop() deletes them."""
+    spark, paths = corpus.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        if not store:
+            return df
+        out, path = stored(spark, df, name)
+        paths.append(path)
+        return out
+
+    toks = kept(corpus.select("pos", "is_title", "level", _terms(corpus, "text", profile).alias("toks")), "index-terms")
     dl = toks.select("pos", F.size("toks").alias("dl"))
-    tf = toks.select("pos", F.explode("toks").alias("term")).groupBy("pos", "term").agg(F.count(F.lit(1)).alias("tf"))
-    totals = dl.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals.select("n"))).select(
-        "term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
+    tf = kept(toks.select("pos", "is_title", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("pos", "is_title", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "index-postings")
+    totals = kept(dl.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")), "index-totals")
+    df = kept(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals.select("n"))).select(
+        "term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf")), "index-df")
     titles = toks.where("is_title").select("pos", F.coalesce("level", F.lit(9)).alias("level"), F.array_distinct("toks").alias("d")).select(
         "pos", "level", F.size("d").alias("n_tokens"), F.explode("d").alias("term"))
-    return Index(corpus, tf, df, dl, totals, titles)
+    return Index(corpus, tf, df, dl, totals, titles, tuple(paths))
+
+
+def _terms(df: DataFrame, text: str, profile: TokenProfile):
+    return F.coalesce("terms", F.expr("array()").cast("array<string>")) if "terms" in df.columns else tokens(F.col(text), profile)
 
 
 def query_terms(queries: DataFrame, profile: TokenProfile = TokenProfile()) -> DataFrame:
     """(qid, term, times): distinct terms of each query and how often it says them."""
-    return queries.select("qid", F.explode(tokens(F.col("query"), profile)).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
+    return queries.select("qid", F.explode(_terms(queries, "query", profile)).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def bm25(index: Index, terms: DataFrame) -> DataFrame:
+def _meet(postings: DataFrame, index: Index, terms: DataFrame) -> DataFrame:
+    """Postings joined with the idf of the query terms (qid, term) that the corpus knows. Neither side's common terms end up
+    in one task: few query terms are broadcast, many are copied for each salt."""
+    known = index.keep(terms.select("qid", "term").join(index.df.select("term", "idf"), "term"), "query-terms")
+    if not index.paths:
+        return postings.join(known, "term")
+    if known.count() <= BROADCAST_TERMS:
+        return postings.join(F.broadcast(known), "term")
+    copies = known.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return postings.withColumn("salt_", F.pmod(F.xxhash64("pos"), F.lit(SALTS)).cast("int")).join(copies, ["term", "salt_"]).drop("salt_")
+
+
+def bm25(index: Index, terms: DataFrame, digits: int = DIGITS, passages_only: bool = False) -> DataFrame:
     """(qid, pos, score, matched): BM25 of every corpus row that has a term of the query."""
     t = F.col("tf").cast("double")
     dl, avg = F.greatest(F.col("dl"), F.lit(1)).cast("double"), F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     part = F.col("idf") * t * (K1 + 1.0) / (t + K1 * (1.0 - B + B * dl / avg))
-    known = terms.select("qid", "term").join(index.df, "term")
-    return index.tf.join(known, "term").join(index.dl, "pos").crossJoin(F.broadcast(index.totals)).groupBy("qid", "pos").agg(
-        F.round(F.sum(part), DIGITS).alias("score"), F.count(F.lit(1)).alias("matched"))
+    postings = index.tf.where("not is_title") if passages_only else index.tf
+    return _meet(postings, index, terms).crossJoin(F.broadcast(index.totals)).groupBy("qid", "pos").agg(
+        F.round(F.sum(part), digits).alias("score"), F.count(F.lit(1)).alias("matched"))
 
 
-def title_hits(index: Index, terms: DataFrame, k: int = 5) -> DataFrame:
+def title_hits(index: Index, terms: DataFrame, k: int = 5, digits: int = DIGITS) -> DataFrame:
     """(qid, rank, pos, hits, score): titles by distinct terms hit, then level, then score, then order."""
-    known = terms.select("qid", "term").join(index.df, "term")
-    hit = index.titles.join(known, "term").groupBy("qid", "pos", "level", "n_tokens").agg(
+    hit = _meet(index.titles, index, terms).groupBy("qid", "pos", "level", "n_tokens").agg(
         F.count(F.lit(1)).alias("hits"), F.sum("idf").alias("s"))
-    scored = hit.withColumn("score", F.round(F.col("s") * F.col("hits") / F.col("n_tokens"), DIGITS))
+    scored = hit.withColumn("score", F.round(F.col("s") * F.col("hits") / F.col("n_tokens"), digits))
     w = Window.partitionBy("qid").orderBy(F.desc("hits"), "level", F.desc("score"), "pos")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "pos", "hits", "score")
 
 
 def plan_queries(index: Index, queries: DataFrame, profile: TokenProfile = TokenProfile(), rare_df: int = 2) -> DataFrame:
-    """One row per query: n_tokens, n_known (distinct), used, missing, refused ('' or a status)."""
-    toks = queries.select("qid", tokens(F.col("query"), profile).alias("toks"))
+    """One row per query: n_tokens, n_known (distinct), used, missing, refused ('' or a status).
+
+    Where queries have a column `unknown` (runs that no term covers), these are missing too, and a query of nothing else is
+    'not_found' unless they are function words alone."""
+    toks = queries.select("qid", _terms(queries, "query", profile).alias("toks"))
     each = toks.select("qid", F.posexplode("toks").alias("at", "term")).join(index.df.select("term", "df"), "term", "left")
     said = each.groupBy("qid").agg(
         F.count(F.lit(1)).alias("n_tokens"), F.countDistinct(F.when(F.col("df").isNotNull(), F.col("term"))).alias("n_known"), F.max("df").alias("most"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("at", "term")))), lambda x: x["term"]).alias("used"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("df").isNull(), F.struct("at", "term")))), lambda x: x["term"]).alias("missing"))
     none = F.expr("array()").cast("array<string>")
-    return queries.select("qid").join(said, "qid", "left").select(
+    runs = F.coalesce("unknown", none) if "unknown" in queries.columns else none
+    return queries.select("qid", runs.alias("runs")).join(said, "qid", "left").select(
         "qid", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("n_known", F.lit(0)).alias("n_known"),
-        F.coalesce("used", none).alias("used"), F.coalesce("missing", none).alias("missing"),
-        F.when(F.coalesce("n_tokens", F.lit(0)) == 0, "empty_query").when(F.col("n_known") == 0, "not_found")
+        F.coalesce("used", none).alias("used"), F.concat(F.coalesce("missing", none), "runs").alias("missing"),
+        F.when((F.coalesce("n_tokens", F.lit(0)) == 0) & F.exists("runs", lambda r: ~is_function_run(r)), "not_found")
+        .when(F.coalesce("n_tokens", F.lit(0)) == 0, "empty_query").when(F.col("n_known") == 0, "not_found")
         .when((F.col("n_tokens") >= 2) & (F.col("most") <= rare_df), "not_found").otherwise("").alias("refused"))
 
 
-def _passes(index: Index, queries: DataFrame, profile: TokenProfile, k: int, rare_df: int):
-    plan = plan_queries(index, queries, profile, rare_df)
+def _passes(index: Index, queries: DataFrame, profile: TokenProfile, ranking: Ranking, rare_df: int):
+    plan = index.keep(plan_queries(index, queries, profile, rare_df), "query-plan")
     terms = query_terms(queries, profile).join(plan.where("refused = ''").select("qid", "n_known"), "qid")
-    sections = title_hits(index, terms, k)
-    is_title = index.corpus.select("pos", "is_title")
-    scored = bm25(index, terms).where("score > 1e-9").join(is_title.where("not is_title").select("pos"), "pos", "left_semi").join(
-        plan.select("qid", "n_known"), "qid")
+    sections = index.keep(title_hits(index, terms, ranking.sections, ranking.digits), "query-sections")
+    scored = bm25(index, terms, ranking.digits, True).where("score > 1e-9").join(plan.select("qid", "n_known"), "qid")
+    scored = index.keep(scored, "query-scores")
     strict = scored.groupBy("qid").agg(F.max(F.col("matched") == F.col("n_known")).alias("has_all"))
     n_sections = sections.groupBy("qid").agg(F.count(F.lit(1)).alias("n_sections"))
-    mode = plan.join(n_sections, "qid", "left").join(strict, "qid", "left").withColumn(
-        "use_all", (F.coalesce("n_sections", F.lit(0)) > 0) | F.coalesce("has_all", F.lit(False)))
+    enough = (F.coalesce("n_sections", F.lit(0)) > 0) & F.lit(ranking.sections_suffice)
+    mode = plan.join(n_sections, "qid", "left").join(strict, "qid", "left").withColumn("use_all", enough | F.coalesce("has_all", F.lit(False)))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "pos")
     passages = scored.join(mode.select("qid", "use_all"), "qid").where(~F.col("use_all") | (F.col("matched") == F.col("n_known"))).withColumn(
-        "rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "pos", "score")
+        "rank", F.row_number().over(w)).where(F.col("rank") <= ranking.passages).select("qid", "rank", "pos", "score")
     return plan, mode, sections, passages
 
 
-def search(index: Index, queries: DataFrame, profile: TokenProfile = TokenProfile(), k: int = 5, rare_df: int = 2) -> DataFrame:
+def search(index: Index, queries: DataFrame, profile: TokenProfile = TokenProfile(), k: int = 5, rare_df: int = 2, ranking: Ranking | None = None) -> DataFrame:
     """One row per query (qid, query): status, n_tokens, n_known, used_tokens, missing_tokens, relax_rounds, n_sections, n_passages, message.
 
     First all known terms must match; only where neither a title nor a passage answers are single terms
     enough, which counts as one relaxing round. Queries without terms are 'empty_query'; those whose terms
-    are all unknown, or all rare while there are two or more, are 'not_found'.
+    are all unknown, or all rare while there are two or more, are 'not_found'. Queries may bring `terms` and `unknown` of
+    their own (see functions.segment).
     """
-    plan, mode, _, passages = _passes(index, queries, profile, k, rare_df)
+    plan, mode, _, passages = _passes(index, queries, profile, ranking or Ranking(k, k), rare_df)
     n = passages.groupBy("qid").agg(F.count(F.lit(1)).alias("n_passages"))
     got = mode.join(n, "qid", "left").withColumn("n_sections", F.coalesce("n_sections", F.lit(0))).withColumn("n_passages", F.coalesce("n_passages", F.lit(0)))
     found = (F.col("refused") == "") & ((F.col("n_sections") > 0) | (F.col("n_passages") > 0))
@@ -130,9 +186,9 @@ def search(index: Index, queries: DataFrame, profile: TokenProfile = TokenProfil
         F.when(F.size("missing") > 0, F.array_join("missing", "、")).otherwise("").alias("message"))
 
 
-def search_hits(index: Index, queries: DataFrame, profile: TokenProfile = TokenProfile(), k: int = 5, rare_df: int = 2) -> DataFrame:
+def search_hits(index: Index, queries: DataFrame, profile: TokenProfile = TokenProfile(), k: int = 5, rare_df: int = 2, ranking: Ranking | None = None) -> DataFrame:
     """(qid, kind, rank, pos, score): the sections and passages that search() answers with; scores to four digits."""
-    _, _, sections, passages = _passes(index, queries, profile, k, rare_df)
+    _, _, sections, passages = _passes(index, queries, profile, ranking or Ranking(k, k), rare_df)
     return sections.select("qid", F.lit("section").alias("kind"), "rank", "pos", F.round("score", 4).alias("score")).unionByName(
         passages.select("qid", F.lit("passage").alias("kind"), "rank", "pos", F.round("score", 4).alias("score")))
 
@@ -140,15 +196,17 @@ def search_hits(index: Index, queries: DataFrame, profile: TokenProfile = TokenP
 def term_ids(corpus: DataFrame, profile: TokenProfile = TokenProfile(), span: int = 1024) -> DataFrame:
     """(term, term_id): numbers in order of first sight.
 
-    Terms are numbered inside spans of `span` corpus positions, and spans by a running total of their sizes, so
-    the only ordering over everything has one row for each span.
+    Terms are numbered inside spans of `span` corpus positions, spans inside groups of `span` spans, and groups by a running
+    total of their sizes: the only ordering over everything has one row for each span * span positions.
     """
     first = corpus.select("pos", F.posexplode(tokens(F.col("text"), profile)).alias("at", "term")).groupBy("term").agg(F.min(F.struct("pos", "at")).alias("seen"))
-    first = first.withColumn("_span", F.floor(F.col("seen.pos") / span))
-    sizes = first.groupBy("_span").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    first = first.withColumn("_span", F.floor(F.col("seen.pos") / span)).withColumn("_group", F.floor(F.col("_span") / span))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = first.groupBy("_group", "_span").agg(F.count(F.lit(1)).alias("_n"))
+    groups = sizes.groupBy("_group").agg(F.sum("_n").alias("_n")).select("_group", before(Window.orderBy("_group")).alias("_base"))
+    spans = sizes.select("_group", "_span", before(Window.partitionBy("_group").orderBy("_span")).alias("_off"))
     k = F.row_number().over(Window.partitionBy("_span").orderBy("seen")) - 1
-    return first.withColumn("_k", k).join(before, "_span").select("term", (F.col("_k") + F.col("_off")).alias("term_id"))
+    return first.withColumn("_k", k).join(spans.join(groups, "_group").drop("_group"), "_span").select("term", (F.col("_k") + F.col("_off") + F.col("_base")).alias("term_id"))
 
 
 def corpus_stats(index: Index) -> DataFrame:

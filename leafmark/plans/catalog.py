@@ -58,7 +58,7 @@ passages AS (SELECT * FROM (SELECT p.qid, p.pos, p.score, row_number() OVER (PAR
 
 
 def _index(spark, sf_dir):
-    return retrieval.build_index(X.corpus(spark, sf_dir)).persist()
+    return retrieval.build_index(X.corpus(spark, sf_dir), store=True)
 
 
 @query(f"""WITH {_TOK}, {_Q}

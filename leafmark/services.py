@@ -45,16 +45,18 @@ class Library:
 
     def corpus(self) -> DataFrame:
         c = chunking.build_chunks(self.items, "doc", self.target, self.min_chars)
-        c = c.withColumn("pos", F.dense_rank().over(Window.orderBy("doc")) * F.lit(1_000_000_000) + F.col("chunk_no"))
+        # only the distinct names of books are ranked in one place
+        ranks = self.books.select("doc").distinct().select("doc", F.row_number().over(Window.orderBy("doc")).alias("book_no"))
+        c = c.join(ranks, "doc").withColumn("pos", F.col("book_no") * F.lit(1_000_000_000) + F.col("chunk_no")).drop("book_no")
         return stored(self.spark, c, "corpus")[0]
 
     def warm_up(self) -> Result:
-        self._index = retrieval.build_index(self.corpus()).persist()
+        self._index = retrieval.build_index(self.corpus(), store=True)
         return Result.ok(self._index.totals.first()["n"])
 
     def refresh(self) -> None:
         if self._index is not None:
-            self._index.refresh()
+            self._index.drop()
         self._index = self._items = None
 
     def explain_topic(self, query: str, k: int = 5) -> Result:
