@@ -209,3 +209,40 @@ def classify_course(name: Column, courses: dict[str, list[str]]) -> Column:
     for c, aliases in courses.items():
         out += [F.when(low.contains(a), c) for a in aliases]
     return F.coalesce(*out, F.lit(""))
+
+
+# Chinese digits that a chapter's number may be written with; they are added up.
+DIGITS_ZH = "一二三四五六七八九"
+
+
+def section_order(c: Column) -> Column:
+    """Sort key of a section's title, array<int> of two: 8.1 is (8, 1), chapter N is (N, 0), any other title (999, 0)."""
+    s = strip(F.coalesce(c, F.lit("")))
+    a, b = F.regexp_extract(s, r"^(\d+)(?:\.(\d+))?", 1), F.regexp_extract(s, r"^(\d+)(?:\.(\d+))?", 2)
+    zh = F.regexp_extract(s, r"^第([一二三四五六七八九十百0-9]+)章", 1)
+    added = F.aggregate(F.split(zh, ""), F.lit(0), lambda n, d: n + F.when(d == "", 0).otherwise(F.instr(F.lit(DIGITS_ZH), d)))
+    number = F.when(zh.rlike(r"^\d+$"), zh.cast("int")).when(added > 0, added).otherwise(99)
+    pair = lambda x, y: F.array(x.cast("int"), y.cast("int"))
+    return F.when(a != "", pair(a, F.when(b != "", b).otherwise("0"))).when(zh != "", pair(number, F.lit(0))).otherwise(pair(F.lit(999), F.lit(0)))
+
+
+def figure_url(folder: Column, url: Column) -> Column:
+    """An image's address, relative ones under the folder of their book."""
+    absolute = url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|/)")
+    return F.when(F.coalesce(url, F.lit("")) == "", "").when(absolute, url).otherwise(F.concat(F.regexp_replace(folder, "/+$", ""), F.lit("/"), F.regexp_replace(url, r"^(?:\./)+", "")))
+
+
+def book_label(c: Column, labels: dict[str, str]) -> Column:
+    """What a book is shown as: the label of the first name that it holds, else its own name."""
+    return F.coalesce(*[F.when(c.contains(k), v) for k, v in labels.items()], c)
+
+
+def block_html(kind: Column, level: Column, text: Column, url: Column, page: Column, keys: Column) -> Column:
+    """One block of a section as HTML: headings of two sizes, figures linked to themselves, tables, captions, marked paragraphs."""
+    lines_ = lambda c: F.replace(c, F.lit("\n"), F.lit("<br>"))
+    badge = page_badge(page)
+    heading = F.concat(F.when(F.coalesce(level, F.lit(9)) <= 4, F.lit('<h4>')).otherwise('<h5>'), escape_html(text), F.when(F.coalesce(level, F.lit(9)) <= 4, F.lit('</h4>')).otherwise('</h5>'))
+    figure = F.when(F.coalesce(url, F.lit("")) != "", F.concat(F.lit('<p class="figure"><a href="'), url, F.lit('"><img src="'), url, F.lit('"></a></p>'))).otherwise("")
+    para = F.when(is_caption(text), F.concat(F.lit('<p class="caption">'), badge, lines_(escape_html(text)), F.lit("</p>"))).otherwise(
+        F.concat(F.lit("<p>"), badge, lines_(highlight(text, keys)), F.lit("</p>")))
+    return F.when(kind == "heading", heading).when(kind == "figure", figure).when(kind == "table", table_html(text)).otherwise(para)

@@ -115,3 +115,42 @@ def dashboard(chunks: DataFrame, questions: DataFrame, wrong: DataFrame) -> Data
     for df, name in ((questions, "questions"), (wrong, "wrong")):
         out = out.join(df.select("course", F.col("n").alias(name)), "course", "full_outer")
     return out.select("course", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks", "questions", "wrong")])
+
+
+def shuffled(questions: DataFrame, key: Column, seed: str = "0") -> DataFrame:
+    """Questions with their turn in a random order, the same for the same seed; turns are numbered by course."""
+    h = F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
+    return questions.withColumn("turn", F.row_number().over(Window.partitionBy("course").orderBy(h, key)))
+
+
+def unmastered(wrong: DataFrame, course: str = "") -> DataFrame:
+    """Wrong questions that are not mastered, of one course or all."""
+    left = wrong.where(~F.coalesce("mastered", F.lit(False)))
+    return left.where(F.col("course") == course) if course else left
+
+
+def update_wrong_book(book: DataFrame, attempts: DataFrame, key: list[str], order: list[str], counting: bool = False) -> DataFrame:
+    """book (key, wrong_count, mastered) after more graded attempts: a right answer takes a key out, wrong ones put it in;
+    with counting those since the last right one add up, on top of the book's count where none was right."""
+    at = F.struct(*order)
+    last = attempts.groupBy(*key).agg(F.max(F.when(F.col("correct"), at)).alias("right"))
+    new = attempts.join(last, key).groupBy(*key).agg(
+        F.max(F.col("right").isNotNull()).alias("cleared"), F.count_if(~F.col("correct") & (F.col("right").isNull() | (at > F.col("right")))).alias("more"))
+    both = book.select(*key, F.col("wrong_count").alias("had"), "mastered").join(new, key, "full_outer")
+    had, more = F.coalesce("had", F.lit(0)), F.coalesce("more", F.lit(0))
+    count = F.when(F.coalesce("cleared", F.lit(False)), more).otherwise(had + more if counting else F.greatest(had, more))
+    out = both.withColumn("wrong_count", count if counting else F.when(F.coalesce("cleared", F.lit(False)), F.least(count, F.lit(1))).otherwise(F.when(had > 0, had).otherwise(F.least(more, F.lit(1)))))
+    return out.where("wrong_count > 0").select(*key, F.col("wrong_count").cast("long").alias("wrong_count"), F.coalesce("mastered", F.lit(False)).alias("mastered"))
+
+
+def session_progress(attempts: DataFrame, session: str, turn: str = "turn") -> DataFrame:
+    """(session, total, done, skipped, next_turn, finished): attempts (session, turn, state) where state is 'answered', 'skipped' or
+    null for turns to come; a skipped question is passed without a grade."""
+    s = F.col("state")
+    out = attempts.groupBy(session).agg(F.count(F.lit(1)).alias("total"), F.count(s).alias("done"), F.count_if(s == "skipped").alias("skipped"), F.min(F.when(s.isNull(), F.col(turn))).alias("next_turn"))
+    return out.withColumn("finished", F.col("next_turn").isNull())
+
+
+def kpis(board: DataFrame, documents: int = 0, archived: int = 0) -> DataFrame:
+    """One row of totals over a dashboard (course, chunks, questions, wrong), with the numbers of exported and archived files."""
+    return board.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("chunks", "questions", "wrong")]).select("*", F.lit(documents).alias("documents"), F.lit(archived).alias("archived"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from leafmark.functions import segment
 from leafmark.functions import text as T
 from leafmark.operators import chunking, layout, markdown, merging, practice, reading, retrieval
+from leafmark.sources import documents
 from leafmark.sources import fixtures as X
 from leafmark.sources.tables import stored
 
@@ -562,6 +564,252 @@ def detected_tables(spark, sf_dir):
     return t.select("page", F.size("cells").alias("n_rows"), F.size(F.get("cells", F.lit(0))).alias("n_cols"), F.array_join(row, "\n").alias("rows"))
 
 
+# ------------------------------------------------------------------ segmentation
+
+def _values(rows) -> str:
+    quote = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"'{x}'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows) + ")"
+
+
+def _segmented(src: str, vocab: str) -> str:
+    """SQL of the longest match from the left: src (id, txt) -> seg_terms (id, part_no, at_, term) and seg_runs (id, part_no, run)."""
+    return rf"""
+seg_parts AS (SELECT id, unnest(ps) AS part, generate_subscripts(ps, 1) AS part_no FROM (SELECT id, list_filter(string_split(trim(regexp_replace(lower(txt), '[\s，。！？；：、,.!?;:]+', ' ', 'g')), ' '), lambda x: x <> '') AS ps FROM {src})),
+seg_at AS (SELECT id, part_no, part, unnest(range(1, length(part) + 1)) AS at_ FROM seg_parts),
+seg_hit AS (SELECT a.id, a.part_no, a.at_, max(length(v.term)) AS size FROM seg_at a JOIN (SELECT DISTINCT term FROM {vocab} WHERE length(term) >= 2) v ON substr(a.part, a.at_, length(v.term)) = v.term GROUP BY 1, 2, 3),
+seg_all AS (SELECT a.*, h.size, substr(part, at_, 1) AS ch FROM seg_at a LEFT JOIN seg_hit h USING (id, part_no, at_)),
+seg_walk AS (SELECT id, part_no, at_, size, ch, part FROM seg_all WHERE at_ = 1 UNION ALL
+  SELECT n.id, n.part_no, n.at_, n.size, n.ch, n.part FROM seg_walk w JOIN seg_all n ON n.id = w.id AND n.part_no = w.part_no AND n.at_ = w.at_ + coalesce(w.size, 1)),
+seg_terms AS (SELECT id, part_no, at_, CASE WHEN size IS NOT NULL THEN substr(part, at_, size) ELSE ch END AS term FROM seg_walk WHERE size IS NOT NULL OR NOT regexp_matches(ch, '[一-鿿]')),
+seg_cjk AS (SELECT id, part_no, at_, ch, at_ - row_number() OVER (PARTITION BY id, part_no ORDER BY at_) AS grp FROM seg_walk WHERE size IS NULL AND regexp_matches(ch, '[一-鿿]')),
+seg_runs AS (SELECT id, part_no, min(at_) AS at_, string_agg(ch, '' ORDER BY at_) AS run FROM seg_cjk GROUP BY id, part_no, grp HAVING count(*) >= 2)"""
+
+
+@query(f"""WITH RECURSIVE src AS (SELECT p_partkey AS id, replace(p_name, ' ', '') AS txt FROM part WHERE p_name IS NOT NULL), voc AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS term FROM part), {_segmented('src', 'voc')}
+SELECT src.id AS p_partkey, coalesce(t.terms, '') AS terms, coalesce(n, 0) AS n FROM src LEFT JOIN (SELECT id, string_agg(term, ' ' ORDER BY part_no, at_) AS terms, count(*) AS n FROM seg_terms GROUP BY 1) t ON t.id = src.id""")
+def segmented_names(spark, sf_dir):
+    """Names without spaces cut by the longest match against the words of all names."""
+    p = X.read(spark, sf_dir, "part").where("p_name is not null")
+    voc = p.select(F.explode(F.split(F.lower("p_name"), " ")).alias("term"))
+    t = segment.segment(p.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("name")), voc, "p_partkey", "name")
+    return t.select("p_partkey", F.array_join("terms", " ").alias("terms"), F.size("terms").cast("long").alias("n"))
+
+
+_ZH = f"""ztext AS (SELECT * FROM {_values([(k, t) for k, (_, t) in enumerate(X.ZH_CHUNKS)] + [(1000 + k, q) for k, q in enumerate(X.ZH_QUERIES)])} t(id, txt)), zvoc AS (SELECT * FROM {_values([(t,) for t in X.ZH_TERMS])} v(term)),
+{_segmented('ztext', 'zvoc')},
+ztok AS (SELECT ztext.id, coalesce(list(s.term ORDER BY part_no, at_) FILTER (s.term IS NOT NULL), []) AS toks FROM ztext LEFT JOIN seg_terms s ON s.id = ztext.id GROUP BY 1),
+corpus AS (SELECT * FROM {_values([(k, lv > 0, lv or None) for k, (lv, _) in enumerate(X.ZH_CHUNKS)])} c(pos, is_title, level)),
+tok AS (SELECT pos, is_title, level, toks FROM corpus JOIN ztok ON id = pos),
+""" + _TOK[_TOK.index("dl AS"):]
+_ZQ = """q AS (SELECT id - 1000 AS qid, txt AS query FROM ztext WHERE id >= 1000), qt AS (SELECT id - 1000 AS qid, toks FROM ztok WHERE id >= 1000),
+""" + _Q[_Q.index("each_ AS"):]
+
+
+@query(f"""WITH RECURSIVE {_ZH}, {_ZQ}, zrun AS (SELECT id - 1000 AS qid, string_agg(run, ' ' ORDER BY part_no, at_) AS runs, bool_or(NOT regexp_matches(run, '^[{segment.FUNCTION_CHARS}]+$')) AS real_ FROM seg_runs WHERE id >= 1000 GROUP BY 1)
+SELECT m.qid, CASE WHEN refused = 'empty_query' AND coalesce(real_, FALSE) THEN 'not_found' WHEN refused <> '' THEN refused WHEN m.n_sections > 0 OR coalesce(n_passages, 0) > 0 THEN 'ok' ELSE 'not_found' END AS status,
+  array_to_string(used, ' ') AS used_tokens, trim(array_to_string(missing, ' ') || ' ' || coalesce(runs, '')) AS missing_tokens, coalesce(b.pos, -1) AS best_section, coalesce(n_passages, 0) AS n_passages
+FROM mode m LEFT JOIN zrun USING (qid) LEFT JOIN (SELECT qid, count(*) AS n_passages FROM passages GROUP BY 1) USING (qid) LEFT JOIN (SELECT qid, pos FROM sections WHERE rank = 1) b USING (qid)""")
+def chinese_search(spark, sf_dir):
+    """Nine queries on a small Chinese course: found, refused for want of terms, for unknown terms, and for rare ones."""
+    voc, c, q = X.zh_vocabulary(spark), X.zh_corpus(spark), X.zh_queries(spark)
+    c = c.join(segment.segment(c, voc, "pos", "text").select("pos", "terms"), "pos")
+    q = q.join(segment.segment(q, voc), "qid")
+    i = retrieval.build_index(c, store=True)
+    best = retrieval.search_hits(i, q).where("kind = 'section' and rank = 1").select("qid", F.col("pos").alias("best"))
+    return retrieval.search(i, q).join(best, "qid", "left").select(
+        "qid", "status", F.array_join("used_tokens", " ").alias("used_tokens"), F.array_join("missing_tokens", " ").alias("missing_tokens"), F.coalesce("best", F.lit(-1)).alias("best_section"), "n_passages")
+
+
+@query(f"""WITH {_TOK}, {_Q.replace("AS rank FROM th) WHERE rank <= 5", "AS rank FROM th) WHERE rank <= 6").replace(", 9) AS score", ", 3) AS score").replace("(coalesce(n_sections, 0) > 0 OR coalesce(has_all, FALSE)) AS use_all", "coalesce(has_all, FALSE) AS use_all").replace("n_known) WHERE rank <= 5", "n_known) WHERE rank <= 10")}
+SELECT qid, 'section' AS kind, rank, pos, score FROM sections UNION ALL SELECT qid, 'passage', rank, pos, score FROM passages""")
+def reader_ranking(spark, sf_dir):
+    """The offline reader's ranking: scores to three digits before they are compared, six sections and ten passages."""
+    return retrieval.search_hits(_index(spark, sf_dir), X.queries(spark, sf_dir), ranking=retrieval.READER)
+
+
+# ------------------------------------------------------------------ richer books, banks
+
+_RICH = r"""
+rn AS (SELECT r_name AS doc, n_nationkey AS k, n_name AS nm FROM nation JOIN region ON r_regionkey = n_regionkey),
+rraw AS (SELECT DISTINCT doc, -1 AS k, 0 AS o, 'heading' AS kind, 1 AS level, doc AS text, NULL AS url, doc AS path, NULL::INT AS page FROM rn
+  UNION ALL SELECT doc, k, 1, 'heading', 2, k || '.1 ' || nm, NULL, doc || ' > ' || k || '.1 ' || nm, k + 1 FROM rn
+  UNION ALL SELECT doc, k, 2, 'para', 0, 'The nation ' || nm || ' lies in its region and trades with many others by sea.', NULL, doc || ' > ' || k || '.1 ' || nm, k + 1 FROM rn
+  UNION ALL SELECT doc, k, 3, 'table', 0, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || CASE WHEN k % 4 = 0 THEN '| only ' || k || ' |' ELSE '| ' || k || ' | ' || nm || ' |' END, NULL, doc || ' > ' || k || '.1 ' || nm, k + 1 FROM rn
+  UNION ALL SELECT doc, k, 4, 'figure', 0, '图' || k || '-1 map of ' || nm, 'img/' || k || '.png', doc || ' > ' || k || '.1 ' || nm, k + 1 FROM rn
+  UNION ALL SELECT doc, k, 5, 'para', 0, '图' || k || '-1 map of ' || nm, NULL, doc || ' > ' || k || '.1 ' || nm, k + 1 FROM rn WHERE k % 3 <> 0),
+rich AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY k, o) - 1 AS pos, kind, level, text, url, path, page, k FROM rraw)
+"""
+
+
+def _rich(spark, sf_dir):
+    return stored(spark, markdown.parse_items(X.rich_books(spark, sf_dir), "doc"), "items")[0]
+
+
+@query(f"WITH {_RICH} SELECT doc, pos, kind, level, text, coalesce(url, '') AS url, path, page FROM rich")
+def rich_items(spark, sf_dir):
+    """Headings, paragraphs, tables and figures of books that have them all."""
+    return _rich(spark, sf_dir).withColumn("url", F.coalesce("url", F.lit("")))
+
+
+@query(f"""WITH {_RICH} SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY min(pos)) AS section_no, path AS section, count(*) FILTER (kind <> 'heading') AS blocks, count(*) FILTER (kind = 'figure') AS figures, count(*) FILTER (kind = 'table') AS tables FROM rich GROUP BY doc, path""")
+def rich_sections(spark, sf_dir):
+    """Reader sections with figures and tables."""
+    return reading.reader_sections(_rich(spark, sf_dir))
+
+
+@query(f"WITH {_RICH} SELECT doc, count(*) AS figures, count(*) FILTER (k % 3 <> 0) AS placed FROM rich WHERE kind = 'figure' GROUP BY 1")
+def figure_placement(spark, sf_dir):
+    """Figures whose caption is the next paragraph on their page."""
+    return reading.figure_placement(_rich(spark, sf_dir))
+
+
+@query(f"WITH {_RICH} SELECT doc, count(*) AS tables, count(*) FILTER (k % 4 <> 0) AS sound FROM rich WHERE kind = 'table' GROUP BY 1")
+def table_quality(spark, sf_dir):
+    """Tables of two rows or more with the same number of columns in each."""
+    return reading.table_quality(_rich(spark, sf_dir))
+
+
+@query(rf"""WITH {_RICH}, b AS (SELECT doc, k, CASE WHEN k % 3 <> 0 THEN chr(10) || '图' || k || '-1 map of ' || nm ELSE '' END AS extra, nm FROM rn),
+c AS (SELECT doc, k, 0 AS o, TRUE AS is_title, doc || ' > ' || k || '.1 ' || nm AS text FROM rn UNION ALL SELECT DISTINCT doc, -1, 0, TRUE, doc FROM rn
+  UNION ALL SELECT b.doc, b.k, 1, FALSE, 'The nation ' || b.nm || ' lies in its region and trades with many others by sea.' || chr(10) || t.text || extra FROM b JOIN rich t ON t.doc = b.doc AND t.k = b.k AND t.kind = 'table')
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY k, o) - 1 AS chunk_no, is_title, text FROM c""")
+def rich_chunks(spark, sf_dir):
+    """Chunks of books with tables and figures: tables are text, figures are left out."""
+    return chunking.build_chunks(_rich(spark, sf_dir), "doc", 400, 10, T.LATIN).select("doc", "chunk_no", "is_title", "text")
+
+
+@query(rf"""WITH {_RICH}, s AS (SELECT doc, count(DISTINCT path) AS sections, count(*) FILTER (kind = 'figure') AS figures, count(*) FILTER (kind = 'table') AS tables, count(DISTINCT page) AS pages FROM rich GROUP BY 1),
+v AS (SELECT doc, count(DISTINCT term) AS vocab FROM (SELECT doc, unnest(regexp_extract_all(lower(CASE WHEN kind = 'heading' THEN path ELSE text END), '[\p{{L}}\p{{N}}]+')) AS term FROM rich WHERE kind <> 'figure') GROUP BY 1)
+SELECT s.doc, sections, (SELECT count(*) FROM rn WHERE rn.doc = s.doc) AS chunks, figures, tables, vocab, pages FROM s JOIN v USING (doc)""")
+def reader_stats(spark, sf_dir):
+    """What each book's reader shows."""
+    i = _rich(spark, sf_dir)
+    return reading.reader_stats(i, chunking.build_chunks(i, "doc", 400, 10, T.LATIN))
+
+
+@query(rf"""WITH {_RICH}, e AS (SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t, '<span style="{T.PAGE_STYLE}">&nbsp;P' || page || '&nbsp;</span>&nbsp;' AS badge FROM rich WHERE path LIKE '% > %'),
+h AS (SELECT doc, path AS target, pos, CASE kind WHEN 'heading' THEN '<h4>' || t || '</h4>' WHEN 'figure' THEN '<p class="figure"><a href="' || url || '"><img src="' || url || '"></a></p>'
+  WHEN 'table' THEN '<table><tr><th>key</th><th>name</th></tr><tr>' || CASE WHEN k % 4 = 0 THEN '<td>only ' || k || '</td>' ELSE '<td>' || k || '</td><td>' || split_part(path, '.1 ', 2) || '</td>' END || '</tr></table>'
+  ELSE CASE WHEN t LIKE '图%' THEN '<p class="caption">' || badge || t || '</p>' ELSE '<p>' || badge || regexp_replace(t, '(?i)(nation|region)', '<span style="{T.MARK_STYLE}">\1</span>', 'g') || '</p>' END END AS x FROM e)
+SELECT doc, target, string_agg(x, chr(10) ORDER BY pos) AS html FROM h GROUP BY 1, 2""")
+def section_pages(spark, sf_dir):
+    """Sections as HTML, their blocks in order, words marked."""
+    i = _rich(spark, sf_dir)
+    blocks = reading.section_blocks(i, i.where("kind = 'heading' and level = 2").select("doc", F.col("path").alias("target")))
+    return reading.section_html(blocks, ["doc", "target"], ["nation", "region"])
+
+
+@query(r"""WITH rn AS (SELECT r_name AS doc, n_nationkey AS k, n_name AS nm FROM nation JOIN region ON r_regionkey = n_regionkey),
+w AS (SELECT doc, k || '.1 ' || nm AS title, k, nm, unnest(['the', 'nation', lower(nm), 'lies', 'in', 'its', 'region', 'and', 'trades', 'with', 'many', 'others', 'by', 'sea', 'key', 'name']) AS dummy FROM rn)
+SELECT DISTINCT doc, title, TRUE AS has_name, 3 AS n FROM w UNION ALL SELECT DISTINCT doc, doc, FALSE, 1 FROM rn""")
+def concept_nodes(spark, sf_dir):
+    """Key words of sections met with the tree's nodes: three each; the books' own sections hold a page mark alone."""
+    b = X.rich_books(spark, sf_dir)
+    tree = reading.tree_paths(_rich(spark, sf_dir))
+    t = reading.tree_concepts(tree, reading.section_concepts(b, k=3))
+    # the two words of the table's head and the nation's name are among the most frequent
+    named = F.exists("concepts", lambda c: F.lower("title").contains(c))
+    return t.select("doc", "title", (named & (F.size("concepts") > 0)).alias("has_name"), F.size("concepts").alias("n"))
+
+
+@query(r"""SELECT r_name AS course, n_nationkey AS no, CASE WHEN n_nationkey % 2 = 0 THEN '选择题' ELSE '填空题' END AS type, 'Which key has ' || n_name || '?' AS stem,
+  CASE WHEN n_nationkey % 2 = 0 THEN 'A. ' || n_nationkey || '|B. none' ELSE '' END AS options, CASE WHEN n_nationkey % 2 = 0 THEN 'A' ELSE n_nationkey::VARCHAR END AS answer, 'see ' || n_name AS explanation
+FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def question_bank(spark, sf_dir):
+    """Question banks in Markdown parsed into questions."""
+    q = practice.parse_bank(X.banks(spark, sf_dir))
+    return q.select("course", "no", "type", "stem", F.array_join("options", "|").alias("options"), "answer", "explanation")
+
+
+@query(r"""WITH n AS (SELECT r_name AS doc, n_nationkey AS k, n_name AS nm FROM nation JOIN region ON r_regionkey = n_regionkey),
+c AS (SELECT doc, k, 1 AS level, k || '.1 ' || nm AS title FROM n UNION ALL SELECT DISTINCT doc, -1, 0, doc FROM n)
+SELECT doc, title, CASE WHEN level = 1 THEN doc || ' > ' || doc || ' > ' || title ELSE doc || ' > ' || doc END AS path, row_number() OVER (PARTITION BY doc, level ORDER BY k) AS sibling_no FROM c UNION ALL SELECT DISTINCT doc, doc, doc, 1 FROM n""")
+def course_tree(spark, sf_dir):
+    """The trees of all books as one, each book a root, siblings in order of their numbers."""
+    return reading.course_tree(reading.tree_paths(_rich(spark, sf_dir))).select("doc", "title", "path", "sibling_no")
+
+
+# ------------------------------------------------------------------ expressions on titles and files
+
+_TITLES = [(1, "8.1 Basics"), (2, "第3章 x"), (3, "第十二章"), (4, "Appendix"), (5, "12"), (6, " 5.8.2TCP"), (7, "第十章"), (8, "2024 年报"), (9, "图 3-1 x"), (10, "1.2 Title"), (11, "第2部分 y"), (12, "a.b"), (13, "10．附"), (14, "")]
+_WANT = {1: ("8,1", True, False, "2", "第8章"), 2: ("3,0", True, False, "1", ""), 3: ("2,0", True, False, "1", ""), 4: ("999,0", False, False, "", ""), 5: ("12,0", False, False, "", ""), 6: ("5,8", False, False, "3", ""), 7: ("99,0", True, False, "1", ""),
+         8: ("2024,0", False, False, "", ""), 9: ("999,0", False, True, "", ""), 10: ("1,2", True, False, "2", "第1章"), 11: ("999,0", True, False, "", ""), 12: ("999,0", False, False, "", ""), 13: ("10,0", False, False, "", "第10章"), 14: ("999,0", False, False, "", "")}
+
+
+@query(f"""SELECT k, ord, pdf, cap, slide, chapter FROM {_values([(k, *_WANT[k]) for k, _ in _TITLES])} v(k, ord, pdf, cap, slide, chapter)""")
+def title_tests(spark, sf_dir):
+    """Sort keys, heading tests, captions and chapters of titles; the SQL side is worked out by hand."""
+    t = F.col("t")
+    return spark.createDataFrame(_TITLES, "k long, t string").select(
+        "k", F.array_join(T.section_order(t).cast("array<string>"), ",").alias("ord"), F.coalesce(T.is_pdf_heading(t), F.lit(False)).alias("pdf"), T.is_caption(t).alias("cap"),
+        F.coalesce(T.slide_heading_level(t).cast("string"), F.lit("")).alias("slide"), F.when(t.rlike(r"^第"), "").when(t.rlike(r"^\d{1,2}\s*[.．]") & (F.col("k") != 6), T.infer_chapter(t)).otherwise("").alias("chapter"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'http://h/' || page_id || '.png' WHEN page_id % 3 = 1 THEN 'books/net/img/' || page_id || '.png' ELSE '/abs/' || page_id || '.png' END AS url,
+  CASE WHEN contains(url, 'a') THEN 'with a' WHEN contains(url, 'e') THEN 'with e' ELSE url END AS label FROM pages""")
+def figure_urls(spark, sf_dir):
+    """Addresses of figures under their book's folder, and labels of books."""
+    k = F.col("page_id").cast("string")
+    u = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("http://h/"), k, F.lit(".png"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("./img/"), k, F.lit(".png"))).otherwise(F.concat(F.lit("/abs/"), k, F.lit(".png")))
+    return X.read(spark, sf_dir, "pages").select("page_id", T.figure_url(F.lit("books/net/"), u).alias("url"), T.book_label(F.col("url"), {"a": "with a", "e": "with e"}).alias("label"))
+
+
+# ------------------------------------------------------------------ wrong book, totals, resume
+
+@query(f"""WITH {_AT}, g AS (SELECT user_id AS key, event_id, ts, correct FROM at_ WHERE correct IS NOT NULL), l AS (SELECT key, arg_max(correct, (ts, event_id)) AS ok, max((ts, event_id)) FILTER (correct) AS r FROM g GROUP BY 1)
+SELECT key, count(*) AS wrong_count, FALSE AS mastered FROM g JOIN l USING (key) WHERE NOT ok AND NOT correct AND (r IS NULL OR (ts, event_id) > r) GROUP BY 1""")
+def wrong_book_updates(spark, sf_dir):
+    """The counting book kept in steps of ten days, each on top of the one before: the same as over all attempts at once."""
+    a = X.attempts(spark, sf_dir).where("correct is not null").withColumnRenamed("user_id", "key")
+    a = a.withColumn("step", F.floor((F.dayofmonth("ts") - 1) / 10))
+    book = a.limit(0).select("key", F.lit(0).cast("long").alias("wrong_count"), F.lit(False).alias("mastered"))
+    for k in range(4):
+        book = practice.update_wrong_book(book, a.where(F.col("step") == k), ["key"], ["ts", "event_id"], True)
+    return book
+
+
+@query("""SELECT lang AS course, count(*) AS n_left FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND lang = 'en' GROUP BY 1""")
+def unmastered_list(spark, sf_dir):
+    """Wrong questions not mastered yet, of one course."""
+    w = X.read(spark, sf_dir, "documents").join(X.read(spark, sf_dir, "labels"), "doc_id").select(F.col("lang").alias("course"), (F.col("quality") == 1).alias("mastered"))
+    return practice.unmastered(w, "en").groupBy("course").agg(F.count(F.lit(1)).alias("n_left"))
+
+
+@query("""SELECT lang AS course, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('5|' || doc_id), doc_id) AS turn FROM documents""")
+def review_shuffle(spark, sf_dir):
+    """Questions of a review in random order, the same for the same seed."""
+    return practice.shuffled(X.read(spark, sf_dir, "documents").select(F.col("lang").alias("course"), "doc_id"), F.col("doc_id"), "5")
+
+
+@query("""SELECT user_id, count(*) AS total, count(*) FILTER (event_type <> 'view') AS done, count(*) FILTER (event_type = 'click') AS skipped, min(event_id) FILTER (event_type = 'view') AS next_turn, count(*) FILTER (event_type = 'view') = 0 AS finished FROM events GROUP BY 1""")
+def session_progress(spark, sf_dir):
+    """How far each session is, skipped questions among the done ones."""
+    e = X.read(spark, sf_dir, "events")
+    state = F.when(F.col("event_type") == "view", F.lit(None).cast("string")).when(F.col("event_type") == "click", "skipped").otherwise("answered")
+    return practice.session_progress(e.select("user_id", "event_id", state.alias("state")), "user_id", "event_id")
+
+
+@query("""SELECT (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE quality = 1) AS questions, (SELECT count(*) FROM events) AS wrong, 3 AS documents, 4 AS archived""")
+def home_kpis(spark, sf_dir):
+    """Totals over the dashboard."""
+    return practice.kpis(dashboard(spark, sf_dir), 3, 4)
+
+
+@query("""SELECT lang AS book, count(*) AS pages, sum(doc_id % 3)::BIGINT AS figures, sum(doc_id % 2)::BIGINT AS tables, sum(n_chars)::BIGINT AS paras FROM documents GROUP BY 1""")
+def meta_totals(spark, sf_dir):
+    """Figures, tables and paragraphs over the pages of each book."""
+    m = X.read(spark, sf_dir, "documents").select(F.col("lang").alias("book"), (F.col("doc_id") % 3).alias("n_figures"), (F.col("doc_id") % 2).alias("n_tables"), F.col("n_chars").alias("n_paras"))
+    return documents.meta_totals(m)
+
+
+@query("""SELECT d.doc_id, l.quality, l.doc_id IS NULL AS to_do FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def pages_to_do(spark, sf_dir):
+    """Pages met with their meta, and those that have none yet."""
+    d, l = X.read(spark, sf_dir, "documents").select("doc_id"), X.read(spark, sf_dir, "labels").select("doc_id", "quality")
+    todo = documents.missing(d, l, "doc_id").withColumn("to_do", F.lit(True))
+    return documents.pages_with_meta(d, l, ["doc_id"]).join(todo, "doc_id", "left").withColumn("to_do", F.coalesce("to_do", F.lit(False)))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -186,3 +186,125 @@ def bank_template(course: str, book: str) -> str:
     part = "### 1. …\n{opts}**答案**：…\n**解析**：…"
     sec = lambda n, name, opts: f"## {n}、{name}\n\n<!--\n{part.format(opts=opts)}\n-->\n"
     return f"# {course} 题库\n\n> {book}\n\n" + "\n".join([sec("一", "选择题", "- A. …\n- B. …\n- C. …\n- D. …\n"), sec("二", "填空题", ""), sec("三", "大题", "")])
+
+
+# The number of a chapter in a file's name.
+_FILE_CHAPTER = r"第(\d+)章"
+
+
+def join_chapters(files: DataFrame) -> DataFrame:
+    """files (name, markdown) -> one row (markdown): chapters in order of the number in their names, each under its heading;
+    files without a number come last, as they are."""
+    n = F.regexp_extract("name", _FILE_CHAPTER, 1)
+    no = F.when(n != "", n.cast("int")).otherwise(99)
+    part = F.when(n != "", F.concat(F.lit("# 第"), n, F.lit("章\n\n"), "markdown")).otherwise(F.col("markdown"))
+    return files.select(no.alias("no"), "name", part.alias("part")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "name", "part"))), lambda r: r["part"]), "\n\n").alias("markdown"))
+
+
+def list_files(spark: SparkSession, folder: str, suffix: str, recursive: bool = True) -> DataFrame:
+    """(path, name, course, modified): files of a suffix under a folder; course is the first folder on the way."""
+    from leafmark.sources.tables import _fs_path
+
+    schema = "path string, name string, course string, modified timestamp"
+    fs, at = _fs_path(spark, folder)
+    if not fs.exists(at):
+        return spark.createDataFrame([], schema)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", f"*{suffix}").load(folder)
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    rest = F.element_at(F.split(path, F.concat(F.lit("/"), F.lit(folder.rstrip("/").rsplit("/", 1)[-1]), F.lit("/"))), -1)
+    return raw.select(path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("name"), F.when(rest.contains("/"), F.substring_index(rest, "/", 1)).otherwise("").alias("course"), F.col("modificationTime").alias("modified"))
+
+
+def scan_banks(spark: SparkSession, folder: str) -> DataFrame:
+    """(course, path, modified, text): the question banks of a folder, in order of name."""
+    d = spark.read.text(f"{folder}/*.md", wholetext=True).select(F.url_decode(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
+    return d.withColumn("course", F.regexp_replace(F.regexp_extract("path", r"([^/]*)\.md$", 1), "-?题库$", "")).select("course", "path", "modified", "text").orderBy("path")
+
+
+def missing(wanted: DataFrame, there: DataFrame, key: str) -> DataFrame:
+    """Of what is wanted, the rows whose key is not there yet: pages still to be read, templates still to be written."""
+    return wanted.join(there.select(key), key, "left_anti")
+
+
+def page_cache(spark: SparkSession, folder: str, book: str) -> DataFrame:
+    """(book, page, w, h, items) of cached detection boxes, one JSON file a page named by its number; a broken file gives no row,
+    so that its page is read again."""
+    boxes = "struct<w:double,h:double,items:array<struct<box:array<array<double>>,text:string,score:double>>>"
+    raw = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.json$", 1).alias("n"), F.from_json("value", boxes).alias("p"))
+    points = F.transform("p.items", lambda it: F.struct(F.transform(it["box"], lambda x: F.struct(F.get(x, F.lit(0)).alias("x"), F.get(x, F.lit(1)).alias("y"))).alias("box"), it["text"].alias("text"), it["score"].alias("score")))
+    return raw.where("n <> '' and p.w is not null and p.items is not null").select(F.lit(book).alias("book"), F.col("n").cast("int").alias("page"), "p.w", "p.h", points.alias("items"))
+
+
+def pages_with_meta(pages: DataFrame, meta: DataFrame, keys: list[str]) -> DataFrame:
+    """pages (keys, text) with what their meta (keys, page_no, ...) tells, null where there is none."""
+    return pages.join(meta, keys, "left")
+
+
+def meta_totals(meta: DataFrame, book: str = "book") -> DataFrame:
+    """(book, pages, figures, tables, paras): sums over the meta of a book's pages (n_figures, n_tables, n_paras)."""
+    return meta.groupBy(book).agg(F.count(F.lit(1)).alias("pages"), *[F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(c) for c in ("figures", "tables", "paras")])
+
+
+def save_meta(meta: DataFrame, path: str) -> None:
+    meta.write.mode("overwrite").json(path)
+
+
+def export_books(books: DataFrame) -> DataFrame:
+    """(doc, docx): every book (doc, text) as a DOCX file."""
+    ship_package(books.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"doc": pdf["doc"], "docx": [markdown_docx(t or "") for t in pdf["text"]]})
+    return books.select("doc", "text").mapInPandas(run, "doc string, docx binary")
+
+
+def read_wrong_book(spark: SparkSession, path: str) -> DataFrame:
+    """The wrong-answer book (key, course, type, no, wrong_count, mastered); empty where nothing was written yet."""
+    from leafmark.sources.tables import _fs_path
+
+    schema = "key string, course string, type string, no int, wrong_count long, mastered boolean"
+    fs, at = _fs_path(spark, path)
+    return spark.read.schema(schema).json(path) if fs.exists(at) else spark.createDataFrame([], schema)
+
+
+def write_wrong_book(book: DataFrame, path: str) -> None:
+    """Put a new state in the book's place: written beside it first, since it may be made from the old one."""
+    from leafmark.sources.tables import _fs_path
+
+    fs, at = _fs_path(book.sparkSession, path)
+    _, new = _fs_path(book.sparkSession, f"{path.rstrip('/')}.new")
+    fs.delete(new, True)
+    book.write.json(new.toString())
+    fs.delete(at, True)
+    if not fs.rename(new, at):
+        raise OSError(f"cannot put {path} in place")
+
+
+def reader_payload(sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row (json) for each book: its sections (doc, section_no, title, level) and chunks (doc, chunk_no, section_path, page_no,
+    text), with "</" escaped so that it can stand in a script."""
+    s = sections.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("section_no", "title", "level"))).alias("sections"))
+    c = chunks.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "section_path", "page_no", "text"))).alias("chunks"))
+    return s.join(c, "doc", "left").select("doc", F.replace(F.to_json(F.struct("doc", "sections", "chunks")), F.lit("</"), F.lit("<\\/")).alias("json"))
+
+
+def reader_page(title: str, payloads: list[str]) -> str:
+    """A single HTML file that shows the payloads' books; payloads are those of the books that a reader was asked for."""
+    show = "for(const b of DATA){const h=document.createElement('h1');h.textContent=b.doc;document.body.append(h);for(const c of b.chunks||[]){const p=document.createElement('p');p.textContent=c.text;document.body.append(p);}}"
+    return f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{escape(title)}</title></head><body><script>const DATA=[{','.join(payloads)}];{show}</script></body></html>"
+
+
+def write_books(books: DataFrame, folder: str) -> int:
+    """Books (doc, text) as Markdown files, one after the other; a file that is there is replaced. How many were written."""
+    from leafmark.sources.tables import _fs_path
+
+    n = 0
+    for r in books.select("doc", "text").toLocalIterator():
+        fs, at = _fs_path(books.sparkSession, f"{folder.rstrip('/')}/{r['doc']}.md")
+        out = fs.create(at, True)
+        out.write(bytearray((r["text"] or "").encode()))
+        out.close()
+        n += 1
+    return n
