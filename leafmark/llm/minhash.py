@@ -202,19 +202,6 @@ def _first_links(pdf: pd.DataFrame) -> pd.DataFrame:
     return _ordered(out)
 
 
-def _other_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Every pair that may link and whose members are in different groups by now (column comp)."""
-    node, ids, comp, sigs = pdf["node"].to_numpy(), pdf["id"].to_numpy(), pdf["comp"].to_numpy(), _matrix(pdf["sig"])
-    out = []
-    for a, b in _runs(node):
-        if (comp[a:b] == comp[a]).all():
-            continue
-        est = agreement(sigs[a:b])
-        i, j = np.nonzero((est >= MAYBE) & (comp[a:b, None] != comp[None, a:b]))
-        out += [(int(ids[a + x]), int(ids[a + y]), 0) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
-    return _ordered(out)
-
-
 def _ordered(out) -> pd.DataFrame:
     got = np.array(out, np.int64).reshape(-1, 3)
     return pd.DataFrame({"u": got[:, :2].min(1), "v": got[:, :2].max(1), "node": got[:, 2]})
@@ -276,23 +263,66 @@ def _left_cells(rows: DataFrame, gone: DataFrame, groups: DataFrame) -> DataFram
     return every.unionByName(out.select(every.columns)).select(F.xxhash64("node", "bd", "bm").alias("node"), "id", "sig", "comp", "role")
 
 
-def _left_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of cells, every pair that may link, in different groups, one of which left its node."""
-    node, ids, comp, role, sigs = pdf["node"].to_numpy(), pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["role"].to_numpy(), _matrix(pdf["sig"])
-    out = []
+def _may_link(role, comp, sigs, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one cell's rows: each i with the rows in other groups that it meets there and may link with, nearest first."""
+    meets, left = at[role[at] & 2 > 0], at[role[at] & 6 == 6]
+    for i in at[role[at] & 1 > 0].tolist():
+        to = meets if role[i] & 4 else left
+        to = to[comp[to] != comp[i]]
+        if len(to):
+            near = (sigs[to] == sigs[i]).mean(1)
+            order = np.argsort(-near, kind="stable")
+            to = to[order][:int((near >= MAYBE).sum())]
+            if len(to):
+                yield i, to
+
+
+def _apart(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of cells, the members that may link with a member of another group: at most all of them, however many pairs they make."""
+    node, comp, role, sigs = pdf["node"].to_numpy(), pdf["comp"].to_numpy(), pdf["role"].to_numpy(), _matrix(pdf["sig"])
+    hit = np.zeros(len(pdf), bool)
+    for a, b in _runs(node):
+        if (comp[a:b] != comp[a]).any():
+            for i, to in _may_link(role, comp, sigs, np.arange(a, b)):
+                hit[i] = True
+                hit[to] = True
+    return pdf[hit]
+
+
+def _shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements the sorted set x has in common with each of the others (none is empty)."""
+    flat = np.concatenate(others)
+    found = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    return np.add.reduceat(found.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
+def _apart_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of cells with full sets (column s), links that join every two groups of which some pair that meets there links."""
+    node, ids, comp, role, sigs = pdf["node"].to_numpy(), pdf["id"].to_numpy(), pdf["comp"].to_numpy().copy(), pdf["role"].to_numpy(), _matrix(pdf["sig"])
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["s"]]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    need, out = int(round(100 * THRESHOLD)), []
     for a, b in _runs(node):
         at = np.arange(a, b)
-        meets, left = at[role[a:b] & 2 > 0], at[role[a:b] & 6 == 6]
-        for i in at[role[a:b] & 1 > 0].tolist():
-            to = meets if role[i] & 4 else left
-            to = to[comp[to] != comp[i]]
-            if len(to):
-                out += [(int(ids[i]), int(j), 0) for j in ids[to[(sigs[to] == sigs[i]).mean(1) >= MAYBE]]]
+        for i, to in _may_link(role, comp, sigs, at):
+            step = 8  # the nearest first: where one links, its group needs no more
+            while len(to := to[comp[to] != comp[i]]):
+                some, to = to[:step], to[step:]
+                both = _shared(sets[i], [sets[j] for j in some])
+                for j in some[100 * both >= need * (size[i] + size[some] - both)].tolist():
+                    if comp[j] != comp[i]:
+                        out.append((int(ids[i]), int(ids[j]), 0))
+                        comp[at[comp[at] == comp[j]]] = comp[i]
+                step *= 4
     return _ordered(out)
 
 
+def _by_node(rows: DataFrame, f, schema: str) -> DataFrame:
+    return rows.repartition("node").sortWithinPartitions("node").mapInPandas(_whole_nodes(f), schema)
+
+
 def _compare(rows: DataFrame, f) -> DataFrame:
-    return rows.repartition("node").sortWithinPartitions("node").mapInPandas(_whole_nodes(f), "u long, v long, node long").distinct()
+    return _by_node(rows, f, "u long, v long, node long").distinct()
 
 
 def tree_nodes(reps: DataFrame, levels: int = LEVELS) -> tuple[list[DataFrame], list[DataFrame], list[tuple[DataFrame, DataFrame]]]:
@@ -334,30 +364,31 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Confirmed links (u, v) that join every two representatives which the trees bring together and whose full sets reach the threshold.
 
-    First a spanning forest of each node is confirmed, which joins most groups; then all pairs that may link and still lie in
-    different groups are. A pair inside a group needs no link of its own, so a group of any size costs a few links a member.
+    First a spanning forest of each node is confirmed, which joins most groups. Then members of nodes that may link with a member
+    of another group take their full sets to the node, and every such pair is confirmed there; links alone come back. A pair
+    inside a group needs no link of its own, and no pairs are dealt, so a group of any size costs a few rows a member.
     """
     spark = docs.sparkSession
     small, centres, gone = tree_nodes(reps)
     nodes = _union(small)
     found, _ = stored(spark, _compare(nodes, _first_links), "join-forest")
-    pairs, _ = stored(spark, _union([found.where("u >= 0").select("u", "v"), *centres]).where("u <> v").distinct(), "join-pairs1")
-    links, _ = stored(spark, confirm(docs, reps, pairs), "join-links1")
+    pairs, _ = stored(spark, _union([found.where("u >= 0").select("u", "v"), *centres]).where("u <> v").distinct(), "join-pairs")
+    links, _ = stored(spark, confirm(docs, reps, pairs), "join-links")
     more = found.where("u < 0").select("node")
     groups = components(spark, links, "forest")
-    again = nodes.join(more, "node", "left_semi").join(groups, "id", "left").select("node", "id", "sig", F.coalesce("component_id", "id").alias("comp"))
-    apart = [_compare(again, _other_links).select("u", "v")]
+    columns = ["node", "id", "sig", "comp", "role"]
+    cells = nodes.join(more, "node", "left_semi").join(groups, "id", "left").select(
+        "node", "id", "sig", F.coalesce("component_id", "id").alias("comp"), F.lit(7).alias("role")).select(columns)
     if gone:
-        cells = _left_cells(_union([x for x, _ in gone]), _union([x for _, x in gone]), groups)
-        apart.append(_compare(cells, _left_links).select("u", "v"))
-    others, _ = stored(spark, _union(apart).distinct().join(pairs, ["u", "v"], "left_anti"), "join-pairs2")
-    return links.unionByName(confirm(docs, reps, others))
+        cells = cells.unionByName(_left_cells(_union([x for x, _ in gone]), _union([x for _, x in gone]), groups).select(columns))
+    schema = "node long, id long, sig binary, comp long, role int"
+    apart, _ = stored(spark, _by_node(cells, _apart, schema), "join-apart")
+    sets = set_table(docs, reps, apart.select("id").distinct())
+    return links.unionByName(_compare(apart.join(sets, "id"), _apart_links).select("u", "v"))
 
 
-def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of candidate links (u, v) between classes, those whose full sets have 100 * |A and B| >= 100 * threshold * |A or B|."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct()
+def set_table(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, s): the full sets of the wanted classes (id), as sorted 64-bit hashes; a written table."""
     wanted = wanted.join(reps.select("id", F.col("doc_id").alias("at"), F.col("text_key").alias("key")), "id")
     # always by merge: what moves then follows the input at every size
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
@@ -368,7 +399,12 @@ def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: float
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "s": [shingle_set(t, hashes).tobytes() for t in pdf["text"]]})
 
-    held, _ = stored(spark, texts.mapInPandas(sets, "id long, s binary").dropDuplicates(["id"]), "join-sets", "uncompressed")
+    return stored(docs.sparkSession, texts.mapInPandas(sets, "id long, s binary").dropDuplicates(["id"]), "join-sets", "uncompressed")[0]
+
+
+def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Of candidate links (u, v) between classes, those whose full sets have 100 * |A and B| >= 100 * threshold * |A or B|."""
+    held = set_table(docs, reps, pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct())
     need = int(round(100 * threshold))
 
     def check(batches):
