@@ -24,6 +24,8 @@ from .common import MOST_PARTS, ship_package, stored_by, table
 
 #: A vocabulary file may not be larger than this when it goes to every executor.
 MOST_RANKS = 2_000_000
+#: Bytes of ids that are decoded at once (a longer text on its own).
+JOIN_BYTES = 2_000_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -142,14 +144,22 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             by_id[i] = b
         table_ = pa.array(by_id, pa.large_binary())
         size = np.fromiter(map(len, by_id), np.int64, len(by_id))
-        for batch in batches:
-            held = batch.column("ids").to_pylist()
+
+        def joined(held):
             ids = np.frombuffer(b"".join(x or b"" for x in held), "<u4").astype(np.int64)
             data = table_.take(pa.array(ids)).buffers()[2]
             ends = np.concatenate([[0], np.cumsum(size[ids])])[np.cumsum([0, *(len(x or b"") // 4 for x in held)])].tolist()
             view = memoryview(data if data is not None else b"")
-            out = [None if x is None else bytes(view[a:b]) for x, a, b in zip(held, ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "bytes"])
+            return [None if x is None else bytes(view[a:b]) for x, a, b in zip(held, ends, ends[1:], strict=False)]
+
+        for batch in batches:
+            names, column = [*batch.schema.names, "bytes"], batch.column("ids")
+            weight = np.cumsum(np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1])) if len(column) else np.zeros(0)
+            cut = sorted({0, *np.searchsorted(weight, np.arange(JOIN_BYTES, weight.max(initial=0) + 1, JOIN_BYTES), "right").tolist()})
+            for a, b in zip(cut, [*cut[1:], len(column)], strict=True):
+                if a < b:
+                    part = batch.slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(joined(part.column("ids").to_pylist()), pa.binary())], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{schema}, bytes binary")
