@@ -45,7 +45,7 @@ LEAD_CHAPTER = r"^(\d{1,2})\s*[.．]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def tokens(c: Column, profile: TokenProfile = TokenProfile()) -> Column:
