@@ -250,13 +250,15 @@ def _left_cells(rows: DataFrame, gone: DataFrame, groups: DataFrame) -> DataFram
     rows: members (node, id, sig) of large nodes; gone: those that left (node, id). Of two members in different groups one at
     least is outside the node's commonest group, so those outside (role bit 1) meet all members (bit 2), in blocks; bit 4: left.
     """
-    held = rows.join(gone.select("node").distinct(), "node", "left_semi").join(gone.withColumn("left", F.lit(4)), ["node", "id"], "left").join(
+    spark = rows.sparkSession
+    left, _ = stored(spark, gone.select("node").distinct(), "join-left-nodes")
+    held = _with_node(rows, left, "left_semi").join(gone.withColumn("left", F.lit(4)), ["node", "id"], "left").join(
         groups, "id", "left").select("node", "id", "sig", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("component_id", "id").alias("comp"))
-    held, _ = stored(rows.sparkSession, held, "join-left")
+    held, _ = stored(spark, held, "join-left")
     counted = held.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
     common = counted.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n")).where("n > top.n").select(
         "node", F.col("top.comp").alias("top"), F.ceil(F.col("n") / BLOCK).cast("int").alias("gm"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("gd"))
-    members = held.join(common, "node")
+    members = _with_node(held, stored(spark, common, "join-common")[0])
     every = members.withColumn("bm", F.pmod(F.xxhash64("id"), F.col("gm")).cast("int")).withColumn("bd", F.explode(F.sequence(F.lit(0), F.col("gd") - 1))).withColumn("role", F.col("left") + 2)
     out = members.where("comp <> top").withColumn("bd", F.pmod(F.xxhash64("id", F.lit(1)), F.col("gd")).cast("int")).withColumn(
         "bm", F.explode(F.sequence(F.lit(0), F.col("gm") - 1))).withColumn("role", F.col("left") + 1)
@@ -325,13 +327,32 @@ def _compare(rows: DataFrame, f) -> DataFrame:
     return _by_node(rows, f, "u long, v long, node long").distinct()
 
 
+#: Large nodes up to so many are broadcast; with more of them a node's rows are dealt over SALTS.
+BROADCAST_NODES, SALTS = 500_000, 16
+
+
+def _with_node(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (node, id, ...) joined with a written table of one row for each large node, without dealing a node's rows to one task."""
+    if table.count() <= BROADCAST_NODES:
+        return rows.join(F.broadcast(table), "node", how)
+    copies = table.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt_", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(copies, ["node", "salt_"], how).drop("salt_")
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """rows (node, id, ...) with n, the number of members of their node; members that are alone fall."""
+    sizes, _ = stored(rows.sparkSession, rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "join-sizes")
+    large = sizes.where(f"n > {SMALL}")
+    rest = _with_node(rows, large.select("node"), "left_anti").join(sizes.where(f"n <= {SMALL}"), "node")
+    return rest.unionByName(_with_node(rows, large).select(rest.columns))
+
+
 def tree_nodes(reps: DataFrame, levels: int = LEVELS) -> tuple[list[DataFrame], list[DataFrame], list[tuple[DataFrame, DataFrame]]]:
     """reps (id, sig, nodes) -> (tables (node, id, sig) of nodes to be compared exhaustively, tables of links (u, v) to centres,
     by level the members (node, id, sig) of large nodes and those that left them (node, id))."""
     spark = reps.sparkSession
     first = reps.select("id", F.explode("nodes").alias("node"))
-    sizes = first.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held, _ = stored(spark, first.join(sizes, "node"), "join-level0")
+    held, _ = stored(spark, _sized(first), "join-level0")
     rows = held.join(reps.select("id", "sig"), "id")
     small, centres, gone = [], [], []
     for level in range(levels + 1):
@@ -348,9 +369,8 @@ def tree_nodes(reps: DataFrame, levels: int = LEVELS) -> tuple[list[DataFrame],
             _split_block, "kind int, node long, id long, to long, sig binary"), f"join-split{level}")
         centres.append(split.where("kind = 0").select(F.least("id", "to").alias("u"), F.greatest("id", "to").alias("v")))
         gone.append((large.select("node", "id", "sig"), split.where("kind = 3").select("node", "id")))
-        down = split.where("kind in (1, 2)").select("node", "id", "sig").dropDuplicates(["node", "id"])
-        sizes = down.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = down.join(sizes, "node")
+        down, _ = stored(spark, split.where("kind in (1, 2)").select("node", "id", "sig").dropDuplicates(["node", "id"]), f"join-down{level}")
+        rows = _sized(down)
     return small, centres, gone
 
 
