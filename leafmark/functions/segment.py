@@ -14,6 +14,20 @@ from pyspark.sql import functions as F
 SEPARATORS = r"[\s，。！？；：、,.!?;:]+"
 CJK = "[一-鿿]"
 FUNCTION_CHARS = "的了是在和就都而及与着或之也这那什么怎怎样如何为哪些没有是否多少介绍讲解一下意思请问知道告诉"
+# Words that say nothing of a topic.
+STOPWORDS = tuple("""
+的 了 是 在 和 就 都 而 及 与 着 或 之 也 有 这 那 上 下 里 中 到 说 要 会 能 可 以 等
+为 从 对 被 把 让 使 给 但 却 因 所以 因此 如果 那么 这样 那样 时候
+什么 怎么 怎样 如何 为什么 哪 哪些 谁 何时 何地 多少
+可以 需要 应该 必须 可能 已经 正在 将要 通过 由于 关于 对于 根据 按照
+以及 并且 或者 但是 然而 不过 就是 还是 也是 都是 只是 一些 一种 一样
+这个 那个 这些 那些 这里 那里
+""".split())
+
+
+def content_terms(terms: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+    """Terms without stop words, single characters outside ASCII, and terms that are neither letters and digits nor hold CJK."""
+    return F.filter(terms, lambda t: ~t.isin(*stopwords) & ((F.length(t) >= 2) | t.rlike(r"^[\x00-\x7f]$")) & (t.rlike(r"^[\p{L}\p{N}]+$") | t.rlike(CJK)))
 
 
 def is_function_run(c: Column) -> Column:

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmark.functions import segment
 from leafmark.functions.text import section_title
 from leafmark.operators import chunking, markdown, practice, reading, retrieval
 from leafmark.sources import documents
@@ -31,10 +32,13 @@ class Result:
 
 
 class Library:
-    """Books (doc, text) of one course with their items, chunks and index; refresh() after the books change."""
+    """Books (doc, text) of one course with their items, chunks and index; refresh() after the books change.
 
-    def __init__(self, spark: SparkSession, books: DataFrame, target: int = 400, min_chars: int = 60):
-        self.spark, self.books = spark, books
+    With a vocabulary (term) texts and queries are cut by the longest match, as CJK text needs.
+    """
+
+    def __init__(self, spark: SparkSession, books: DataFrame, target: int = 400, min_chars: int = 60, vocabulary: DataFrame | None = None):
+        self.spark, self.books, self.vocabulary = spark, books, vocabulary
         self.target, self.min_chars = target, min_chars
         self._index = self._items = self._corpus = None
 
@@ -53,8 +57,14 @@ class Library:
             self._corpus = stored(self.spark, c, "corpus")[0]
         return self._corpus
 
+    def _cut(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        if self.vocabulary is None:
+            return df
+        t = segment.segment(df.select(key, text), self.vocabulary, key, text)
+        return df.join(t.withColumn("terms", segment.content_terms(F.col("terms"))), key)
+
     def warm_up(self) -> Result:
-        self._index = retrieval.build_index(self.corpus(), store=True)
+        self._index = retrieval.build_index(self._cut(self.corpus(), "pos", "text"), store=True)
         return Result.ok(self._index.totals.first()["n"])
 
     def refresh(self) -> None:
@@ -69,7 +79,7 @@ class Library:
         """not_found and empty_query are successful answers; a library without text is a failure."""
         if not self._ready():
             return Result.fail("no_corpus", "the course has no text")
-        q = self.spark.createDataFrame([(0, query)], "qid long, query string")
+        q = self._cut(self.spark.createDataFrame([(0, query)], "qid long, query string"), "qid", "query")
         head = retrieval.search(self._index, q, k=k).first().asDict()
         hits = retrieval.search_hits(self._index, q, k=k).join(self._index.corpus, "pos").orderBy("kind", "rank")
         got = [r.asDict() for r in hits.select("kind", "rank", "score", "doc", "section_path", "page_no", "text").collect()]  # at most 2k rows
@@ -82,7 +92,7 @@ class Library:
             return Result.fail("no_path", "the section has no path")
         if not self._ready():
             return Result.ok([], "the course has no text")
-        q = self.spark.createDataFrame([(0, tail)], "qid long, query string")
+        q = self._cut(self.spark.createDataFrame([(0, tail)], "qid long, query string"), "qid", "query")
         hits = retrieval.search_hits(self._index, q, k=k).where("kind = 'passage'")
         got = [r.asDict() for r in reading.evidence(hits, self._index.corpus).orderBy("rank").drop("qid").collect()]  # at most k rows
         return Result.ok(got, f"{len(got)} passages" if got else "the section has no text of its own")

@@ -177,6 +177,11 @@ def test_segment(spark):
     assert [x.f for x in f.collect()] == [True, False]
 
 
+def test_content_terms(spark):
+    d = spark.createDataFrame([(["什么", "物理层", "层", "a", "tcp", "+", "c++", "7", "é"],)], "t array<string>")
+    assert d.select(segment.content_terms(F.col("t")).alias("t")).first().t == ["物理层", "a", "tcp", "7"]
+
+
 def test_chinese_course_answers(spark):
     """Nine queries: six found in their chapter, one unknown, one of function words, one said once only."""
     c = fixtures.zh_corpus(spark).join(segment.segment(fixtures.zh_corpus(spark), fixtures.zh_vocabulary(spark), "pos", "text").select("pos", "terms"), "pos")
@@ -189,6 +194,14 @@ def test_chinese_course_answers(spark):
     assert "物理层" in first[0, "section"] and "拥塞控制" in first[1, "passage"] and "差错检测" in first[2, "passage"] and "窗口" in first[3, "passage"] and "域名系统" in first[4, "passage"]
 
 
+def test_chinese_library(spark):
+    text = "# 第1章 网络\n\n## 1.1 物理层\n\n" + "物理层把比特送过信道，编码由协议规定。" * 4 + "\n\n## 1.2 网络层\n\n" + "网络层用路由器转发分组，每个地址有路由。" * 4 + "\n"
+    lib = services.Library(spark, spark.createDataFrame([("网络", text)], "doc string, text string"), vocabulary=fixtures.zh_vocabulary(spark))
+    r = lib.explain_topic("什么是信道")
+    assert r.data["status"] == "ok" and r.data["passages"][0]["section_path"].endswith("物理层") and r.data["used_tokens"] == ["信道"]
+    assert lib.explain_topic("红烧肉").data["status"] == "not_found" and lib.explain_topic("什么是").data["status"] == "empty_query"
+
+
 def test_section_concepts(spark):
     md = "intro words here\n# A\nalpha beta alpha\n##### deep\n# B\n# A\ngamma gamma delta\n# C\n \n"
     got = {r.title: r.concepts for r in reading.section_concepts(spark.createDataFrame([("d", md)], "doc string, text string")).collect()}
