@@ -49,7 +49,7 @@ def _bucket_of(words: list[bytes], n: int) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % n
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 8_000_000, bucket_words: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 6_000_000, bucket_words: int = 300_000) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit ids).
 
     docs needs doc_id and text; other columns are ignored. Every match of pattern is encoded on its
@@ -96,14 +96,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 8_
         words = dec_bytes(row["vocab"])
         order, _ = by_bucket(_bucket_of(words, n_buckets), n_buckets)
         right = right.sort_values("bucket")
-        by_word = np.zeros(len(words), np.int64)
+        by_word = np.zeros(len(words), np.int32)
         starts = np.zeros(len(words), np.int64)
         flat = np.empty(0, np.uint32)
         if len(right):
             lens = np.concatenate([dec(x) for x in right["lens"]]).astype(np.int64)
             flat = np.concatenate([dec(x).astype(np.uint32) for x in right["flat"]])
             by_word[order], starts[order] = lens, np.cumsum(lens) - lens
-        ids = dec(row["ids"]).astype(np.int64)
+        ids = dec(row["ids"])
         n = by_word[ids]
         tokens = flat[spread(starts[ids], n)].astype("<u4")
         ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(dec(row["lens"]).astype(np.int64))])]

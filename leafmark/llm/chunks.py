@@ -102,5 +102,7 @@ def by_bucket(buckets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The positions start, start + 1, ... of every run, one run after the other."""
     total = int(lens.sum())
-    shift = np.repeat(starts - (np.cumsum(lens) - lens), lens)
-    return shift + np.arange(total)
+    kind = np.int32 if total < 1 << 31 and int(starts.max(initial=0)) < 1 << 31 else np.int64
+    out = np.repeat((starts - (np.cumsum(lens) - lens)).astype(kind), lens)
+    out += np.arange(total, dtype=kind)
+    return out
