@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from itertools import groupby
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from leafmark.functions.text import MD_TABLE_ROW, lines, strip
 from leafmark.operators.markdown import lines_of
+from leafmark.sources.tables import stored
 
 # Thresholds and patterns of the merge step.
 TOC_HEADS, TOC_BODY_CHARS, TOC_BODY_LINES, PAGE_TOLERANCE = 8, 30, 1, 3
 TABLE_RULE, TABLE_SECTION = r"^\|[\s:|-]+\|$", r"^\|\s*\d+(?:\.\d+)+\s*\|"
 APPENDIX, BARE_CHAPTER = r"^附\s*录\s*[A-Za-z]?", r"^(#{1,6})\s*第\s*(\d+)\s*章\s*$"
 SHORT_LABEL = r"^[一-鿿A-Za-z0-9·•]{1,8}$"
+#: Up to so many books have their one row each broadcast to the pages, so that a long book's pages stay where they are.
+BROADCAST_BOOKS = 500_000
 
 
 def page_offset(pages: DataFrame, book: str = "book") -> DataFrame:
@@ -29,7 +38,10 @@ def page_offset(pages: DataFrame, book: str = "book") -> DataFrame:
 
 def clean_page_numbers(pages: DataFrame, book: str = "book") -> DataFrame:
     """pages (book, idx, page_no, ...) with page_no put right and fixed, whether it was."""
-    p = pages.join(page_offset(pages, book), book)
+    return _clean(pages.join(page_offset(pages, book), book))
+
+
+def _clean(p: DataFrame) -> DataFrame:
     guess = F.col("idx") + 1 + F.col("offset")
     guess = F.when(guess >= 1, guess)
     fits = F.abs(F.col("page_no") - (F.col("idx") + 1) - F.col("offset")) <= PAGE_TOLERANCE
@@ -37,49 +49,114 @@ def clean_page_numbers(pages: DataFrame, book: str = "book") -> DataFrame:
         "page_no", F.when(F.col("page_no").isNotNull() & fits, F.col("page_no")).otherwise(guess)).drop("offset")
 
 
+def _by_book(pages: DataFrame, books: DataFrame, book: str) -> DataFrame:
+    """pages with what books (one row each, not all of them) say, else null."""
+    books, _ = stored(pages.sparkSession, books, "by-book")
+    return pages.join(F.broadcast(books) if books.count() <= BROADCAST_BOOKS else books, book, "left")
+
+
+def _toc_counts(text: Column) -> Column:
+    """struct<heads, body>: lines of a page that are headings or contents rows, and lines that are prose."""
+    def count(ls):
+        row, head = lambda s: s.rlike(MD_TABLE_ROW), lambda s: s.rlike(r"^#{1,6}\s+")
+        heads = F.filter(ls, lambda s: F.when(row(s), s.rlike(TABLE_SECTION)).otherwise(head(s)))
+        body = F.filter(ls, lambda s: ~row(s) & ~head(s) & (F.length(s) >= TOC_BODY_CHARS))
+        return F.struct(F.size(heads).alias("heads"), F.size(body).alias("body"))
+    kept = F.filter(F.transform(lines(text), strip), lambda s: ~((s == "") | s.startswith("![") | s.rlike(TABLE_RULE)))
+    return F.get(F.transform(F.array(kept), count), F.lit(0))
+
+
+def _is_toc(heads: Column, body: Column) -> Column:
+    return (heads >= TOC_HEADS) & (body <= TOC_BODY_LINES)
+
+
 def toc_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, heads, body, is_toc): whether a page is nothing but headings and contents rows."""
-    ln = pages.select(*keys, F.explode(lines(F.col("text"))).alias("raw")).select(*keys, strip(F.col("raw")).alias("s"))
-    s = F.col("s")
-    skip = (s == "") | s.startswith("![") | s.rlike(TABLE_RULE)
-    row = s.rlike(MD_TABLE_ROW)
-    head = F.when(row, s.rlike(TABLE_SECTION)).otherwise(s.rlike(r"^#{1,6}\s+"))
-    body = ~row & ~s.rlike(r"^#{1,6}\s+") & (F.length(s) >= TOC_BODY_CHARS)
-    n = ln.groupBy(*keys).agg(F.count_if(~skip & head).alias("heads"), F.count_if(~skip & body).alias("body"))
-    return n.withColumn("is_toc", (F.col("heads") >= TOC_HEADS) & (F.col("body") <= TOC_BODY_LINES))
+    n = pages.select(*keys, _toc_counts(F.col("text")).alias("_n")).groupBy(*keys).agg(F.sum("_n.heads").alias("heads"), F.sum("_n.body").alias("body"))
+    return n.withColumn("is_toc", _is_toc(F.col("heads"), F.col("body")))
 
 
-def normalize_appendix(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
-    """(doc, text, appendix_subs): the first appendix line that two bare chapter headings follow becomes a chapter of its
-    own, and the bare chapters after it its sections."""
-    w = Window.partitionBy(doc).orderBy("pos")
-    ln = docs.select(doc, F.posexplode(lines(F.col(text))).alias("pos", "raw")).withColumn("s", strip(F.col("raw")))
-    bare = F.col("s").rlike(BARE_CHAPTER)
-    after = F.sum(bare.cast("int")).over(w.rowsBetween(1, Window.unboundedFollowing))
-    ln = ln.withColumn("_ok", (F.length("s") <= 30) & F.col("s").rlike(APPENDIX) & (F.coalesce(after, F.lit(0)) >= 2))
-    ln = ln.withColumn("_at", F.min(F.when(F.col("_ok"), F.col("pos"))).over(Window.partitionBy(doc)))
-    sub = (F.col("pos") > F.col("_at")) & bare
-    new = (F.when((F.col("pos") == F.col("_at")) & ~F.col("s").startswith("#"), F.concat(F.lit("# "), "s"))
-           .when(sub, F.concat(F.lit("## 第"), F.regexp_extract("s", BARE_CHAPTER, 2), F.lit("章"))).otherwise(F.col("raw")))
-    return ln.withColumn("new", new).groupBy(doc).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda r: r["new"]), "\n").alias("text"),
-        F.count_if(F.coalesce(sub, F.lit(False))).alias("appendix_subs"))
+def normalize_parts(parts: DataFrame, doc: str, order: str, text: str = "text") -> DataFrame:
+    """parts (doc, order, text) with text put right and appendix_subs of the part: the first appendix line that two bare chapter
+    headings follow becomes a chapter of its own, and the bare chapters after it its sections.
 
+    A line has two bare chapters after it if it stands before the last but one, so a document's lines meet no window.
+    """
+    bare, appendix = lambda s: s.rlike(BARE_CHAPTER), lambda s: (F.length(s) <= 30) & s.rlike(APPENDIX)
+    some = parts.where(F.col(text).contains("第") | F.col(text).contains("附"))
+    marks = some.select(doc, order, F.posexplode(F.transform(lines(F.col(text)), strip)).alias("k", "s"))
+    marks = marks.select(doc, F.struct(F.col(order).alias("o"), "k").alias("pos"), bare(F.col("s")).alias("bare"), appendix(F.col("s")).alias("appendix")).where("bare or appendix")
+    marks, _ = stored(parts.sparkSession, marks, "appendix-marks")
+    chapters = marks.where("bare").select(doc, "pos")
+    last = chapters.groupBy(doc).agg(F.max("pos").alias("last"))
+    second = chapters.join(last, doc).where("pos < last").groupBy(doc).agg(F.max("pos").alias("second"))
+    at = marks.where("appendix").join(second, doc).where("pos < second").groupBy(doc).agg(F.min("pos").alias("_at"))
+    p = _by_book(parts, at, doc)
+    here = F.col(order) == F.col("_at.o")
+    after = lambda k: (F.col(order) > F.col("_at.o")) | (here & (k > F.col("_at.k")))
+
+    def put(raw, k):
+        s = strip(raw)
+        return (F.when(here & (k == F.col("_at.k")) & ~s.startswith("#"), F.concat(F.lit("# "), s))
+                .when(after(k) & bare(s), F.concat(F.lit("## 第"), F.regexp_extract(s, BARE_CHAPTER, 2), F.lit("章"))).otherwise(raw))
+    subs = F.size(F.filter(lines(F.col(text)), lambda raw, k: after(k) & bare(strip(raw))))
+    return p.select(*[c for c in parts.columns if c != text],
+                    F.when(F.col("_at").isNull(), F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")).otherwise(F.array_join(F.transform(lines(F.col(text)), put), "\n")).alias(text),
+                    F.when(F.col("_at").isNull(), 0).otherwise(subs).alias("appendix_subs"))
 
-def merge_pages(pages: DataFrame, book: str = "book", keep_toc: bool = False) -> tuple[DataFrame, DataFrame]:
-    """pages (book, idx, text, page_no) -> (books (book, text, appendix_subs), stats by book)."""
-    p = clean_page_numbers(pages.withColumn("text", strip(F.coalesce("text", F.lit("")))), book)
-    t = toc_pages(p, [book, "idx"]).select(book, "idx", "is_toc")
-    p = p.join(t, [book, "idx"], "left").withColumn("is_toc", F.coalesce("is_toc", F.lit(False)) & F.lit(not keep_toc) & (F.col("text") != ""))
+
+def normalize_appendix(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
+    """(doc, text, appendix_subs): normalize_parts for whole documents, one row each."""
+    parts = docs.select(doc, F.lit(0).alias("_part"), F.col(text).alias("text"))
+    return normalize_parts(parts, doc, "_part").select(doc, "text", F.col("appendix_subs").cast("long").alias("appendix_subs"))
+
+
+def merge_parts(pages: DataFrame, book: str = "book", keep_toc: bool = False) -> tuple[DataFrame, DataFrame]:
+    """pages (book, idx, text, page_no) -> (parts (book, idx, text, appendix_subs), stats by book): a book's text is its parts
+    by idx, a blank line between."""
+    text = strip(F.coalesce("text", F.lit("")))
+    p = _clean(_by_book(pages.withColumn("text", text), page_offset(pages, book), book))
+    n = _toc_counts(F.col("text"))
+    p = p.withColumn("_n", n).withColumn("is_toc", _is_toc(F.col("_n.heads"), F.col("_n.body")) & F.lit(not keep_toc) & (F.col("text") != ""))
     part = F.concat(F.lit("<!-- page "), F.coalesce("page_no", F.col("idx") + 1).cast("string"), F.lit(" -->\n\n"), "text")
     p = p.withColumn("part", F.when((F.col("text") != "") & ~F.col("is_toc"), part))
-    kept = p.where("part is not null").groupBy(book).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "part"))), lambda r: r["part"]), "\n\n").alias("text"))
     stats = p.groupBy(book).agg(
         F.count(F.lit(1)).alias("pages"), F.count_if(F.col("text") == "").alias("empty"), F.count_if(F.col("is_toc")).alias("toc_dropped"),
         F.count_if(F.col("fixed")).alias("pageno_fixed"), F.min("page_no").alias("page_min"), F.max("page_no").alias("page_max"),
         F.coalesce(F.sum(F.length("part")), F.lit(0)).alias("chars"))
-    return normalize_appendix(kept, book), stats
+    kept = p.where("part is not null").select(book, "idx", F.col("part").alias("text"))
+    return normalize_parts(kept, book, "idx"), stats
+
+
+def merge_pages(pages: DataFrame, book: str = "book", keep_toc: bool = False) -> tuple[DataFrame, DataFrame]:
+    """pages (book, idx, text, page_no) -> (books (book, text, appendix_subs), stats by book). A book is one row here; for books
+    of any length see merge_parts."""
+    parts, stats = merge_parts(pages, book, keep_toc)
+    books = parts.groupBy(book).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda r: r["text"]), "\n\n").alias("text"), F.sum("appendix_subs").alias("appendix_subs"))
+    return books, stats
+
+
+def book_digests(parts: DataFrame, book: str = "book", between: str = "\n\n") -> DataFrame:
+    """(book, chars, text_md5, appendix_subs) of the merged books: parts stream by in order, so that no book is ever one row."""
+    key, kind = parts.schema[book], to_arrow_type(parts.schema[book].dataType)
+
+    def rows(batches):
+        for b in batches:
+            sizes = pc.utf8_length(b.column("text")).to_pylist()
+            yield from zip(b.column(0).to_pylist(), sizes, b.column("text"), b.column("appendix_subs").to_pylist(), strict=True)
+
+    def run(batches):
+        for name, group in groupby(rows(batches), key=lambda r: r[0]):
+            md5, chars, subs = hashlib.md5(), -len(between), 0
+            for k, (_, size, text, n) in enumerate(group):
+                if k:
+                    md5.update(between.encode())
+                md5.update(text.as_buffer())
+                chars, subs = chars + len(between) + size, subs + n
+            yield pa.RecordBatch.from_pydict({book: pa.array([name], kind), "chars": [chars], "text_md5": [md5.hexdigest()], "appendix_subs": [subs]})
+    rows_ = parts.select(book, "idx", "text", "appendix_subs").repartition(book).sortWithinPartitions(book, "idx", "text").select(book, "text", "appendix_subs")
+    return rows_.mapInArrow(run, f"`{book}` {key.dataType.simpleString()}, chars long, text_md5 string, appendix_subs long")
 
 
 def clean_slides(docs: DataFrame, doc: str, text: str = "text", most: int = 10) -> DataFrame:
@@ -102,4 +179,4 @@ def clean_slides(docs: DataFrame, doc: str, text: str = "text", most: int = 10)
     return out.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda r: r["out"]), "\n").alias("text"))
 
 
-__all__ = ["clean_page_numbers", "clean_slides", "lines_of", "merge_pages", "normalize_appendix", "page_offset", "toc_pages"]
+__all__ = ["book_digests", "clean_page_numbers", "clean_slides", "lines_of", "merge_pages", "merge_parts", "normalize_appendix", "page_offset", "toc_pages"]
