@@ -4,7 +4,11 @@ import hashlib
 import random
 import re
 
+import duckdb
+import pandas as pd
+
 from leafmark.operators import merging
+from leafmark.plans import catalog
 
 
 def plan_of(df) -> str:
@@ -34,3 +38,24 @@ def test_merged_books_have_no_window_over_a_book(spark):
     assert got == want and any(n for _, n in want.values())
     assert md5 == {b: (len(t), hashlib.md5(t.encode()).hexdigest(), n) for b, (t, n) in want.items()}
     assert "Window" not in plan_of(whole) and "collect_list" not in plan_of(digests)
+
+
+def same_as_sql(name, df, **tables):
+    """Rows of a registered query and of its SQL over the same small tables."""
+    sql = duckdb.connect()
+    for t, rows in tables.items():
+        sql.register(t, rows)
+    want = sql.sql(catalog.SQL[name])
+    key = lambda r: tuple((x is None, x) for x in r)
+    return sorted(map(tuple, df.select(*want.columns).collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
+def test_long_pages_are_restored_as_in_sql(spark, tmp_path):
+    """Pages of up to 45 lines: lines below the usual height of a page are no footers."""
+    r = random.Random(5)
+    rows = [(page, r.randint(1, 1_200_000), r.randint(1, 60_000), r.randint(1, 7), r.choice("ANR")) for page in range(1, 31) for _ in range(r.choice([3, 17, 19, 25, 45]))]
+    li = pd.DataFrame(rows, columns=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"]).astype({"l_linenumber": "int32"})
+    spark.createDataFrame(li).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert len(set(map(tuple, rows))) == len(rows)
+    for name in ("restored_pages", "figure_regions", "detected_tables"):
+        assert same_as_sql(name, catalog.QUERIES[name](spark, str(tmp_path)), lineitem=li), name
