@@ -1,5 +1,6 @@
 """Queries whose plans used to grow faster than their input, or to leave their SQL, on small tables that show it."""
 
+import collections
 import hashlib
 import random
 import re
@@ -7,7 +8,7 @@ import re
 import duckdb
 import pandas as pd
 
-from leafmark.operators import merging
+from leafmark.operators import merging, reading, retrieval
 from leafmark.plans import catalog
 
 
@@ -59,3 +60,43 @@ def test_long_pages_are_restored_as_in_sql(spark, tmp_path):
     assert len(set(map(tuple, rows))) == len(rows)
     for name in ("restored_pages", "figure_regions", "detected_tables"):
         assert same_as_sql(name, catalog.QUERIES[name](spark, str(tmp_path)), lineitem=li), name
+
+
+def test_queries_keep_their_best_rows_in_every_task(spark, monkeypatch, tmp_path):
+    """Best rows of each query by task, as the join of all pairs of queries and rows has them; that join's rows are never made."""
+    monkeypatch.setattr(retrieval, "CELLS", 50)
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(30)]
+    text = lambda n: " ".join(words[min(r.randrange(30), r.randrange(30))] for _ in range(n))
+    rows = [(k, text(r.randint(0, 12)), k % 4 == 0, None if k % 3 else k % 5) for k in range(300)]
+    corpus = spark.createDataFrame(rows, "pos long, text string, is_title boolean, level int").repartition(3)
+    queries = spark.createDataFrame([(f"q{k}", text(k % 4)) for k in range(25)], "qid string, query string")
+    index = retrieval.build_index(corpus, store=True)
+    assert {(x.pos, x.term): x.tf for x in index.tf.collect()} == {(k, w): n for k, t, _, _ in rows for w, n in collections.Counter(t.split()).items()}
+    terms = retrieval.query_terms(queries)
+    for ranking in (None, retrieval.READER):
+        got = [sorted(map(tuple, f(index, queries, ranking=ranking).collect()), key=repr) for f in (retrieval.search, retrieval.search_hits)]
+        assert "Aggregate [qid, pos" not in plan_of(retrieval.passage_hits(index, terms)) and "MapInArrow" in plan_of(retrieval.title_hits(index, terms))
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "BROADCAST_TERMS", -1)
+            assert got == [sorted(map(tuple, f(index, queries, ranking=ranking).collect()), key=repr) for f in (retrieval.search, retrieval.search_hits)]
+    none = spark.createDataFrame([("a", "zzz")], "qid string, query string")
+    assert retrieval.search(index, none).first().status == "not_found" and retrieval.search_hits(index, none).count() == 0
+
+
+def test_key_words_are_weighed_without_pairs_of_all_words(spark):
+    """Key words by a plain fold: most of the frequent words fall, so that candidates are taken in steps; equals by first sight."""
+    r = random.Random(13)
+    docs = [(k % 3, k, " ".join(r.choice(["a" * r.randint(1, 12), "b" * r.randint(1, 5) + "c", f"x{r.randint(0, 60)}", "7", "toolongofaword"]) for _ in range(60))) for k in range(40)]
+    d = spark.createDataFrame(docs, "key long, pos long, text string")
+    want = []
+    for key in range(3):
+        said = [w for k, _, t in docs if k == key for w in t.split() if 2 <= len(w) <= 12 and re.search("[A-Za-z]", w)]
+        n, first = collections.Counter(said), {w: k for k, w in reversed(list(enumerate(said)))}
+        best = sorted((w for w in n if not any(w != v and w in v for v in n)), key=lambda w: (-n[w], first[w]))
+        want += [(key, k + 1, w, n[w]) for k, w in enumerate(best[:5])]
+    got = reading.top_concepts(d, "key", 5)
+    assert sorted(map(tuple, got.collect())) == want
+    counts = reading.word_counts(d, "key")
+    assert "SortAggregate" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, reading.top_concepts(d, "key", 5, step=1).collect())) == want
