@@ -57,26 +57,49 @@ def outline(items: DataFrame, doc: str = "doc") -> DataFrame:
         F.count(F.lit(1)).alias("n_paths"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"]).alias("paths"))
 
 
-def top_concepts(texts: DataFrame, key: str, k: int = 12, profile: TokenProfile = TokenProfile(), stopwords: tuple[str, ...] = ()) -> DataFrame:
+def _is_word(stopwords: tuple[str, ...]):
+    ok = (F.length("word") >= 2) & (F.length("word") <= 12) & F.col("word").rlike(r"[一-鿿A-Za-z]")
+    return ok & ~F.col("word").isin(*stopwords) if stopwords else ok
+
+
+def word_counts(texts: DataFrame, key: str, profile: TokenProfile = TokenProfile(), stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """(key, word, n, pos): words of 2 to 12 characters with a letter, how often and in which text first. Sums of plain
+    numbers, so they are hashed and not sorted."""
+    t = texts.select(key, "pos", F.explode(tokens(F.col("text"), profile)).alias("word")).where(_is_word(stopwords))
+    return t.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+
+
+def top_concepts(texts: DataFrame, key: str, k: int = 12, profile: TokenProfile = TokenProfile(), stopwords: tuple[str, ...] = (), step: int = 512) -> DataFrame:
     """(key, rank, word, n): the k most frequent words of each key's texts, first seen first among equals, of 2 to 12
-    characters with a letter; a word inside a longer ranked word falls.
+    characters with a letter; a word inside a longer word falls.
 
-    Containment is an equi-join: every word offers its proper substrings of 2 to 12 characters, so no pair of words that
-    has nothing in common ever meets.
+    Only the most frequent words of each key are looked for inside its other words (which offer their proper substrings of
+    2 to 12 characters): step * k of them, and step times as many while some key has fewer than k left and more words.
     """
-    t = texts.select(key, "pos", F.posexplode(tokens(F.col("text"), profile)).alias("at", "word")).where(
-        (F.length("word") >= 2) & (F.length("word") <= 12) & F.col("word").rlike(r"[一-鿿A-Za-z]"))
-    if stopwords:
-        t = t.where(~F.col("word").isin(*stopwords))
-    freq = t.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "at")).alias("seen"))
-    freq, _ = stored(texts.sparkSession, freq, "word-counts")  # read twice below
+    spark, most = texts.sparkSession, step * k
+    freq, _ = stored(spark, word_counts(texts, key, profile, stopwords), "word-counts")
+    order = Window.partitionBy(key).orderBy(F.desc("n"), "pos")
+    first = lambda df, m: df.withColumn("_r", F.rank().over(order)).where(F.col("_r") <= m).drop("_r")
+    totals, _ = stored(spark, freq.groupBy(key).agg(F.count(F.lit(1)).alias("words")), "word-totals")
     size = F.length("word")
-    subs = F.flatten(F.transform(F.sequence(F.lit(2), F.greatest(size - 1, F.lit(2))), lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda a: F.substring(F.col("word"), a, n))))
-    inner = freq.where(size >= 3).select(key, F.explode(F.array_distinct(subs)).alias("word")).distinct()
-    left = freq.join(inner, [key, "word"], "left_anti")
-    w = Window.partitionBy(key).orderBy(F.desc("n"), "seen")
-    return left.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "rank", "word", "n")
+    inner = freq.where(size >= 3).select(key, "word", F.explode(F.sequence(F.lit(2), size - 1)).alias("_n")).select(
+        key, "word", "_n", F.explode(F.sequence(F.lit(1), size - F.col("_n") + 1)).alias("_a")).select(key, F.substring("word", F.col("_a"), F.col("_n")).alias("word"))
+    while True:
+        candidates, _ = stored(spark, first(freq, most), "word-candidates")
+        fallen = inner.join(candidates.select(key, "word"), [key, "word"], "left_semi").distinct()
+        left, _ = stored(spark, candidates.join(fallen, [key, "word"], "left_anti"), "words-left")
+        taken = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("taken"))
+        n_left = left.groupBy(key).agg(F.count(F.lit(1)).alias("n_left"))
+        short = totals.join(taken, key).join(n_left, key, "left").where((F.col("taken") < F.col("words")) & (F.coalesce("n_left", F.lit(0)) < k))
+        if short.isEmpty():
+            break
+        most *= max(step, 2)
+    near, _ = stored(spark, first(left, k), "words-near")
+    seen = texts.select(key, "pos", "text").join(near.select(key, "pos").distinct(), [key, "pos"], "left_semi").select(
+        key, "pos", F.posexplode(tokens(F.col("text"), profile)).alias("at", "word")).join(near.select(key, "pos", "word"), [key, "pos", "word"], "left_semi")
+    at = seen.groupBy(key, "word").agg(F.min("at").alias("at"))
+    w = Window.partitionBy(key).orderBy(F.desc("n"), "pos", "at")
+    return near.join(at, [key, "word"], "left").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "rank", "word", "n")
 
 
 def figure_placement(items: DataFrame, doc: str = "doc") -> DataFrame:
